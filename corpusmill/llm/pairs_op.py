@@ -56,7 +56,14 @@ def record_state(raw: bytes) -> str:
         if e.end >= len(raw) and e.reason.startswith("unexpected end"):
             return "broken"
         text = raw.decode(errors="replace")
-    return "empty" if not text.strip(BLANKS) else ending(text)
+    if not text.strip(BLANKS):
+        return "empty"
+    if text.startswith("Question:"):
+        # the label between question and answer is no answer line; a text that never reaches it is judged whole
+        text = text.partition("\n\nAnswer:")[2] or text[len("Question:") :]
+        if not text.strip(BLANKS):
+            return "broken"
+    return ending(text)
 
 
 _STATES = "rec_table string, rec_key bigint, source string, n bigint, state string"

@@ -34,7 +34,16 @@ _DATA_LINE = re.compile(r"(?:->|[ =]= ?\S|\bbecomes\b|<-)")
 
 # Fixed closing phrases: words that follow the stated answer in a finished sentence,
 # and the openings that need them.
-CLOSING_TAILS = ("as the only choice", "zijn", "blijft over", "übrig")
+CLOSING_TAILS = ("as the only choice", "zijn", "blijft over", "übrig", "This settles the question")
+# Words that lead to a stated answer at the end of a sentence.
+_LEADS = re.compile(
+    r"(?:answer is|answer:|output must be|result is|which leaves|lautet die antwort|ausgabe ist(?: folglich)?|bleibt nur|réponse finale est(?: donc)?|demandée doit être|ne reste que"
+    r"|respuesta final es|tiene que ser|solo queda|resposta final é|só pode ser|resta apenas|risposta finale è|deve essere|rimane soltanto|is het antwoord|moet dus|en alleen"
+    r"|окончательный ответ|должен быть равен|остаётся только|答案是|输出一定是|只剩下)[\s:：]*(\S.*)$",
+    re.I | re.S,
+)
+_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？\n]")
+_LETTER = re.compile(r"[^\W\d_]")
 _NEEDS_TAIL = re.compile(r"(?:which leaves|moet dus|en alleen|bleibt nur)$", re.I)
 
 
@@ -95,7 +104,7 @@ def _prose(body: str, value: str) -> str:
     if b[-1] == "\ufffd" or _PARTIAL_MACRO.search(b) or _PARTIAL_ENTITY.search(b):
         return "broken"
     m = _ANSWER_LINE.search(b, max(0, len(b) - 400))
-    if m:
+    if m and len(m[1].split()) <= 8:
         v = strip_blank(m[1]).rstrip(".。")
         if value and v != value and value.startswith(v):
             return "broken"
@@ -105,15 +114,28 @@ def _prose(body: str, value: str) -> str:
     if b.endswith(CLOSING_TAILS):
         return "closed"
     t = b.rstrip(CLOSERS)
-    if t and t[-1] in TERMINATORS:
-        stem = t.rstrip(TERMINATORS)
-        if value and _states(stem, value):
+    stop = bool(t) and t[-1] in TERMINATORS
+    stem = t.rstrip(TERMINATORS) if stop else b
+    last = stem[_last_sentence(stem) :]
+    if stop:
+        if (value and _states(stem, value)) or stem.endswith(CLOSING_TAILS):
             return "closed"
-        return "closed" if stem.endswith(CLOSING_TAILS) else "terminated"
-    line = b[b.rfind("\n") + 1 :]
-    if len(t) < len(b) and t.endswith("\\boxed{"):
-        return "broken"
-    return "data" if _DATA_LINE.search(line) else "broken"
+        m = _LEADS.search(last)
+        return "closed" if m and len(m[1].split()) <= 6 else "terminated"
+    m = _LEADS.search(last)
+    if m and len(m[1].split()) <= 6 and not value and not _NEEDS_TAIL.search(last[: m.start(1)].rstrip(BLANKS)):
+        return "closed"
+    if not _LETTER.search(last) or _DATA_LINE.search(b[b.rfind("\n") + 1 :]):
+        return "data"
+    return "broken"
+
+
+def _last_sentence(text: str) -> int:
+    """Where the last sentence of ``text`` begins."""
+    at = 0
+    for m in _SENTENCE_END.finditer(text, max(0, len(text) - 1000)):
+        at = m.end()
+    return at
 
 
 def ending(text: str | None, answer: str | None = None) -> str:
