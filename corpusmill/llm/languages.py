@@ -44,7 +44,8 @@ SURE, LEAST_WORDS, LEAST_HAN = 0.95, 3, 4
 _BREAK = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
 _BLANKISH = re.compile(r"[\s­᠎​-‏⁠﻿]*\Z")
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
-_CODE = re.compile(r"^[^.!?。]*(?:<<|>>|0b[01]|->|\^|:=|==|\b(?:def|return|import|print|for|while)\b\s*[\w(]|[{};]\s*$)")
+_CODE = re.compile(r"<<|>>|0b[01]|->|\^|:=|==|[{};]\s*$|^\s*(?:def|return|import|class)\b|^\s*[\w.]+\s*=\s")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _MOJIBAKE = re.compile("[ÃÂÐÑ][\u0080-¿]")
 
 
@@ -94,7 +95,7 @@ def _redecode(m: re.Match) -> str:
 def prose_tokens(part: str) -> list[str]:
     """Words and Han characters of a paragraph of prose; empty for headings, data and code."""
     lines = [x for x in part.split("\n") if not x.lstrip().startswith(("#", "|", "```"))]
-    text = "\n".join(x for x in lines if not _CODE.match(x))
+    text = "\n".join(x for x in lines if not (_CODE.search(x) and len(_WORD.findall(x)) < 4))
     tokens = _TOKEN.findall(fold(text))
     han = sum("一" <= t <= "鿿" for t in tokens)
     if han >= LEAST_HAN:
