@@ -69,6 +69,11 @@ def trusted(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return df.withColumn("_src", F.lower(_trim(F.col("source")))).join(ranks, "_src", "left").drop("_src")
 
 
+def _needed(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Identified records with the columns used here only, so that no other column can clash."""
+    return df.select("trace_id", "id", "prompt", "source", "updated_at", *fields).where(F.col("trace_id").isNotNull())
+
+
 def boxed(c: Column) -> Column:
     """Whether a text has a closed box with something in it and no braces inside."""
     return c.rlike(rf"(?U)\\boxed\{{[^{{}}]*[^{{}}\s\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}][^{{}}]*\}}")
@@ -82,7 +87,7 @@ def unpivot(df: DataFrame, fields: dict[str, Column], keep: list[Column]) -> Dat
 
 def lexicographic(df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = ("answer", "completion", "method"), least: int = 2) -> DataFrame:
     """(puzzle_id, field_name, trace_id): for each group of ``least`` or more records the record each field is taken from."""
-    src = trusted(df.where(F.col("trace_id").isNotNull()), catalog)
+    src = trusted(_needed(df, fields), catalog)
     # only the flags of a value travel: 0 for blank, 1 for a value, 2 for a completion with a box
     flags = {f: F.when(is_blank(F.col(f)), 0).when(boxed(F.col(f)) if f == "completion" else F.lit(False), 2).otherwise(1) for f in fields}
     long = unpivot(
@@ -112,7 +117,7 @@ def votes(
     Decay is relative, so the day it is counted from is of no account.  Values are normalised by
     white space; equal sums go to the later, then the smaller record.
     """
-    src = trusted(df.where(F.col("trace_id").isNotNull()), catalog)
+    src = trusted(_needed(df, fields), catalog)
     norm = {f: F.when(~is_blank(F.col(f)), F.xxhash64(F.trim(F.regexp_replace(F.col(f), r"(?U)\s+", " ")))) for f in fields}
     age = F.datediff(F.col("updated_at").cast("date"), F.lit("2025-01-01").cast("date"))
     weight = F.coalesce(1.0 / F.col("trust_rank"), F.lit(0.01)) * F.coalesce(F.pow(F.lit(2.0), age / F.lit(half_life_days)), F.lit(1e-6))
@@ -127,7 +132,7 @@ def votes(
         F.max_by(F.col("who.t"), F.struct(F.round("w", 9), F.col("who.u"), F.col("who.t"))).alias("t"), F.max("w").alias("top"), F.sum("w").alias("all")
     )
     chosen = won.select("puzzle_id", "field_name", (-F.col("t")).alias("trace_id"), F.round(F.col("top") / F.col("all"), 6).alias("share"))
-    values = unpivot(df, {f: F.col(f) for f in fields}, [F.col("trace_id")])
+    values = unpivot(_needed(df, fields), {f: F.col(f) for f in fields}, [F.col("trace_id")])
     full = chosen.join(values, ["trace_id", "field_name"], "left")
     wide = [
         F.max(F.when(F.col("field_name") == f, F.col(c))).alias(f if c == "value" else f"{f}_{c}") for f in fields for c in ("value", "trace_id", "share")
