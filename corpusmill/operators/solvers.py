@@ -501,6 +501,9 @@ def solved(puzzles: DataFrame, keep: list[str]) -> DataFrame:
 
     fields = ", ".join(f"`{k}` {puzzles.schema[k].dataType.simpleString()}" for k in keep)
     d = d.select(*keep, "family", F.col("prompt").alias("_p"), F.col("answer").alias("_a"))
+    # searches cost far more than moving the prompts, and differ much from one to the next
+    parts = max(4 * puzzles.sparkSession.sparkContext.defaultParallelism, puzzles.rdd.getNumPartitions())
+    d = d.repartition(parts, *keep)
     return d.mapInArrow(run, f"{fields}, family string, prediction string, method string, correct boolean")
 
 
