@@ -62,7 +62,8 @@ def worst_slice(values: Column, labels: Column, mask: Column | None = None, skip
 
     No scored value gives 0 and nulls; of equal values the first counts.
     """
-    places = F.sequence(F.lit(1), F.size(values))
+    # a sequence from 1 to 0 would run backwards
+    places = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values))).otherwise(F.array().cast("array<int>"))
     kept = F.filter(places, lambda i: F.element_at(mask, i) > 0) if mask is not None else places
     kept = F.slice(kept, F.lit(skip + 1), F.greatest(F.size(kept) - skip, F.lit(0)))
     v = F.transform(kept, lambda i: F.element_at(values, i).cast("double"))
