@@ -13,7 +13,7 @@ from corpusmill.llm.textends import BLANKS, ending
 from corpusmill.session import cut
 
 #: share of a source's finished records that state an answer, from which one without is taken as cut
-STATED_SHARE, PRIOR_RECORDS = 0.9, 20.0
+STATED_SHARE, PRIOR_RECORDS = 0.9, 5.0
 
 
 def defective_pairs(traces: DataFrame) -> DataFrame:
