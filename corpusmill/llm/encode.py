@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import spread
+
 #: default place of the rank file of byte_bpe_50k
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the id that closes or pads a record; the rank file leaves it free
@@ -136,7 +138,7 @@ def _encoder(path: str, keep: list[str], text: str, only_count: bool):
 def _mapped(df: DataFrame, keep: list[str], text: str, path: str, only_count: bool) -> DataFrame:
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     out = "n_tokens bigint" if only_count else "ids array<int>"
-    return df.select(*keep, text).mapInArrow(_encoder(path, keep, text, only_count), f"{fields}, {out}")
+    return spread(df.select(*keep, text)).mapInArrow(_encoder(path, keep, text, only_count), f"{fields}, {out}")
 
 
 def encode_column(df: DataFrame, keep: list[str], text: str = "text", path: str = RANKS) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.encode import source_name
+from corpusmill.session import spread
 
 LANGS = ("de", "en", "es", "fr", "it", "nl", "pt", "ru", "zh")
 # Spellings of the languages' names besides the two letters, and words for no label.
@@ -237,7 +238,7 @@ def languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "para_no", "true_lang", "confidence", "label"])
 
     docs = documents.select("doc_id", "text", "lang", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"))
-    fused = docs.join(host_priors(documents), "source", "left").select("doc_id", "text", "lang", "prior")
+    fused = spread(docs).join(host_priors(documents), "source", "left").select("doc_id", "text", "lang", "prior")
     return fused.mapInArrow(run, "doc_id bigint, para_no int, true_lang string, confidence double, label string")
 
 

@@ -10,7 +10,7 @@ from corpusmill.llm.automata import declines
 from corpusmill.llm.encode import END_ID, RANKS, codec, source_name
 from corpusmill.llm.pairs import defects, is_copy, is_empty
 from corpusmill.llm.textends import BLANKS, ending
-from corpusmill.session import cut
+from corpusmill.session import cut, spread
 
 #: share of a source's finished records that state an answer, from which one without is taken as cut
 STATED_SHARE, PRIOR_RECORDS = 0.9, 5.0
@@ -33,7 +33,7 @@ def defective_pairs(traces: DataFrame) -> DataFrame:
                     out.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["trace_id", "defect"])
 
-    return traces.select("trace_id", "prompt", "completion", "answer").mapInArrow(run, "trace_id bigint, defect string")
+    return spread(traces.select("trace_id", "prompt", "completion", "answer")).mapInArrow(run, "trace_id bigint, defect string")
 
 
 def trace_state(prompt: str | None, completion: str | None, answer: str | None) -> str:
@@ -80,7 +80,7 @@ def _trace_states(traces: DataFrame) -> DataFrame:
                 names=["rec_table", "rec_key", "source", "n", "state"],
             )
 
-    return traces.select("trace_id", source_name(F.col("source")).alias("source"), "prompt", "completion", "answer").mapInArrow(run, _STATES)
+    return spread(traces.select("trace_id", source_name(F.col("source")).alias("source"), "prompt", "completion", "answer")).mapInArrow(run, _STATES)
 
 
 def _record_states(records: DataFrame, path: str) -> DataFrame:
@@ -100,7 +100,7 @@ def _record_states(records: DataFrame, path: str) -> DataFrame:
                 names=["rec_table", "rec_key", "source", "n", "state"],
             )
 
-    return records.select("rec_id", source_name(F.col("source")).alias("source"), "input_ids").mapInArrow(run, _STATES)
+    return spread(records.select("rec_id", source_name(F.col("source")).alias("source"), "input_ids")).mapInArrow(run, _STATES)
 
 
 def record_states(traces: DataFrame, records: DataFrame, path: str = RANKS) -> DataFrame:
