@@ -164,14 +164,14 @@ def cipher(prompt: str, vocab: dict[str, int]) -> Solved:
 
 def _shifts(v: np.ndarray) -> np.ndarray:
     """All 21 shifts of bytes: rotations, then right shifts, then left shifts, by 1 to 7."""
-    v = v.astype(np.int64)
-    rows = [((v << s) | (v >> (8 - s))) & 255 for s in range(1, 8)] + [v >> s for s in range(1, 8)] + [(v << s) & 255 for s in range(1, 8)]
+    v = v.astype(np.uint8)
+    rows = [(v << s) | (v >> (8 - s)) for s in range(1, 8)] + [v >> s for s in range(1, 8)] + [v << s for s in range(1, 8)]
     return np.stack(rows)
 
 
 def _gates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Six gates on the last axis but one: and, and-not, or, or-not, xor, xor-not."""
-    nb = ~b & 255
+    nb = ~b
     return np.stack([a & b, a & nb, a | b, a | nb, a ^ b, a ^ nb], axis=-2)
 
 
@@ -180,6 +180,16 @@ def _all_gates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _gates(left[:, None, :], right[None, :, :]).reshape(-1, left.shape[1])
 
 
+def _fitting_gates(left: np.ndarray, right: np.ndarray, outs: np.ndarray) -> np.ndarray:
+    """The rows of ``_all_gates`` that fit ``outs``; the first example thins them out before the others are computed."""
+    first = _all_gates(left[:, :1], right[:, :1])[:, 0]
+    at = np.flatnonzero(first == outs[0])
+    g, pair = at % 6, at // 6
+    a, b = left[pair // len(right)], right[pair % len(right)]
+    rows = np.take_along_axis(_gates(a, b), g[:, None, None], axis=1)[:, 0]
+    return rows[(rows[:, :-1] == outs).all(axis=1)]
+
+
 def bits_global(prompt: str) -> Solved | None:
     """The first expression of one, two or three shifts that fits every example; the target rides along as the last column."""
     examples, m = _BITS.findall(prompt), _BITS_FOR.search(prompt)
@@ -188,14 +198,13 @@ def bits_global(prompt: str) -> Solved | None:
     ins = np.array([int(a, 2) for a, _ in examples] + [int(m[1], 2)])
     outs = np.array([int(b, 2) for _, b in examples])
     one = _shifts(ins)
-    level = one
-    for method in ("bit_global_unary", "bit_global_binary", "bit_global_ternary"):
-        if method != "bit_global_unary":
-            level = _all_gates(level, one)
-        fit = np.flatnonzero((level[:, :-1] == outs).all(axis=1))
+    two = _all_gates(one, one)
+    for method, rows in (("bit_global_unary", one), ("bit_global_binary", two)):
+        fit = rows[(rows[:, :-1] == outs).all(axis=1)]
         if len(fit):
-            return f"{int(level[fit[0], -1]):08b}", method
-    return None
+            return f"{int(fit[0, -1]):08b}", method
+    fit = _fitting_gates(two, one, outs)
+    return (f"{int(fit[0, -1]):08b}", "bit_global_ternary") if len(fit) else None
 
 
 @lru_cache(maxsize=1)

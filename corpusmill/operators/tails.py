@@ -42,23 +42,25 @@ def round_robin(rows: DataFrame, per_task: int, max_rows: int, seed: int, row: s
     """(row, task, score, mean, pick): one row of each task in turn until ``max_rows``, each (id, source, method) once.
 
     Tasks in order of name; within a task by score, mean, stable hash and row.  A key that another
-    task has taken is passed over, which shifts later rounds; so the turn is folded over the first
-    rows of each task, as many as the caps and the number of shared keys can ask for.
+    task has taken is passed over, which shifts later rounds; so the turn is folded over as many
+    of the first tasks, and of the first rows of each, as the picks can ask for.
     """
     caps = caps or {}
     key = F.sha2(F.concat_ws("\0", *[text_of(F.col(c)) for c in ("id", "source", "method")]), 256)
     d = rows.select("task", "score", "mean", F.col(row).alias("row"), key.alias("key"), stable_hash(seed, F.col("id"), F.col("source"), F.col("method")).alias("h"))
     once = d.groupBy("task", "key").agg(F.min(F.struct("score", "mean", "h", "row")).alias("r")).select("task", "key", "r.*")
-    shared = once.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
     cap = F.lit(per_task)
     for t, n in caps.items():
         cap = F.when(F.col("task") == t, n).otherwise(cap)
     once = once.withColumn("cap", F.least(cap, F.lit(max_rows))).where("cap > 0")
     place = F.row_number().over(W.partitionBy("task").orderBy("score", "mean", "h", "row"))
-    # the window keeps the first ranks before the shuffle
-    head = once.withColumn("place", place).where(F.col("place") <= F.lit(min(per_task if not caps else max(per_task, *caps.values()), max_rows) + shared))
-    tasks = head.select("task").distinct().orderBy("task").limit(max_rows + shared)
-    head = head.join(tasks, "task", "left_semi")
+    # a task passes over at most as many keys as are picked; the window keeps the first ranks before the shuffle
+    head = once.withColumn("place", place).where(F.col("place") <= F.lit(2 * max_rows))
+    # a task with a key of its own always has a pick, so the first max_rows such tasks and those before them are enough
+    own = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("task").alias("task")).where("n = 1").select("task").distinct()
+    last = [r.task for r in own.orderBy("task").limit(max_rows).collect()]
+    if len(last) == max_rows:
+        head = head.where(F.col("task") <= last[-1])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         queues = {t: list(g.sort_values("place").itertuples(index=False)) for t, g in pdf.groupby("task")}
@@ -81,7 +83,7 @@ def round_robin(rows: DataFrame, per_task: int, max_rows: int, seed: int, row: s
                     picks.append((r.row, t, r.score, r.mean, len(picks) + 1))
         return pd.DataFrame(picks, columns=["row", "task", "score", "mean", "pick"])
 
-    # one small group: at most the caps and shared keys of the first tasks
+    # one small group: twice the picks of each of the first tasks
     return head.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(fold, "row long, task string, score double, mean double, pick int")
 
 
