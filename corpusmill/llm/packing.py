@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut
 
-#: nodes of one filling's search, nodes of the branch and bound, fillings tried at a node
-FILL_NODES, NODES, WIDTH = 4_000, 200_000, 4
+#: nodes of one filling's search, of all searches of a setting, and of the branch and bound; fillings tried at a node
+FILL_NODES, ALL_FILL_NODES, NODES, WIDTH = 4_000, 6_000_000, 200_000, 4
 #: hash buckets of the ranks within one length
 BUCKETS = 256
 
@@ -77,7 +77,7 @@ def _move(bins: dict, room: int, content: tuple, n: int, to_room: int, to: tuple
     at[to] = at.get(to, 0) + n
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], width: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def fillings(room: int, lengths: list[int], left: dict[int, int], width: int, spent: list[int] | None = None) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Up to ``width`` fillings of ``room`` by least waste; among equals larger items first, which dominate their parts."""
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     usable = [x for x in lengths if x <= room and left[x] > 0]
@@ -118,6 +118,8 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], width: int) ->
         return False
 
     walk(0, room, ())
+    if spent is not None:
+        spent[0] += nodes
     return found or [(room, ())]
 
 
@@ -133,21 +135,26 @@ def pack(capacity: int, counts: dict[int, int]) -> list[Pattern]:
     lengths = sorted(counts, reverse=True)
     left = dict(counts)
     path: list[Pattern] = []
-    waste, nodes = 0, 0
+    waste, nodes, spent = 0, 0, [0]
 
     def options() -> Iterator[Pattern]:
         big = next(x for x in lengths if left[x])
-        left[big] -= 1
-        opts = fillings(capacity - big, lengths, left, WIDTH if nodes > len(lengths) * 3 else 1)
-        left[big] += 1
-        for _, fill in opts:
-            parts = dict(fill)
-            parts[big] = parts.get(big, 0) + 1
-            items = tuple(sorted(parts.items(), reverse=True))
-            yield min(left[x] // m for x, m in items), items
+        seen = set()
+        for width in (1, WIDTH):  # the others only when the best has failed
+            left[big] -= 1
+            opts = fillings(capacity - big, lengths, left, width, spent)
+            left[big] += 1
+            for _, fill in opts:
+                if fill in seen:
+                    continue
+                seen.add(fill)
+                parts = dict(fill)
+                parts[big] = parts.get(big, 0) + 1
+                items = tuple(sorted(parts.items(), reverse=True))
+                yield min(left[x] // m for x, m in items), items
 
     stack = [options()]
-    while stack and nodes < NODES:
+    while stack and nodes < NODES and spent[0] < ALL_FILL_NODES:
         nodes += 1
         step = next(stack[-1], None)
         if step is None:

@@ -32,7 +32,7 @@ def is_empty(completion: str | None, answer: str | None) -> bool:
         t = s
         for _ in range(3):
             t = strip_blank(_LABEL.sub("", strip_blank(_WRAPPER.sub(" ", t))))
-        if not t or t.lower() in NOTHING:
+        if not t or (t.lower() in NOTHING and t != strip_blank(answer)):
             return True
     if not strip_blank(answer):
         p = peel(s)

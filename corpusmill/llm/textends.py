@@ -118,7 +118,8 @@ def _prose(body: str, value: str) -> str:
     stem = t.rstrip(TERMINATORS) if stop else b
     last = stem[_last_sentence(stem) :]
     if stop:
-        if (value and _states(stem, value)) or stem.endswith(CLOSING_TAILS):
+        # an answer may itself consist of signs that end sentences
+        if (value and (_states(stem, value) or _states(t[:-1], value))) or stem.endswith(CLOSING_TAILS):
             return "closed"
         m = _LEADS.search(last)
         return "closed" if m and len(m[1].split()) <= 6 else "terminated"
