@@ -107,7 +107,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, modified, content) of all files below a folder."""
+    """(path, length, modified, content) of all files below a folder; Spark lists no empty ones."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     r = r.option("pathGlobFilter", glob) if glob else r
     return r.load(path).select("path", "length", F.col("modificationTime").alias("modified"), "content")
