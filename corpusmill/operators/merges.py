@@ -37,9 +37,9 @@ def plan(tensors: DataFrame, anchor: str, policy: str = "strict", include: str |
     """
     anchors = factor_pairs(tensors.where(F.col("adapter") == anchor), include, exclude)
     every = _pairs(tensors).select("adapter", "module", delta_shape(F.col("a_shape"), F.col("b_shape")).alias("d"))
-    names = tensors.select("adapter").distinct()  # a handful of adapters
+    names = sorted(r.adapter for r in tensors.select("adapter").distinct().collect())  # a handful of adapters
     want = every.where(F.col("adapter") == anchor).select("module", F.col("d").alias("want"))
-    grid = anchors.join(F.broadcast(names.groupBy().agg(F.collect_set("adapter").alias("names")))).withColumn("adapter", F.explode("names")).drop("names")
+    grid = anchors.withColumn("adapter", F.explode(F.array(*[F.lit(n) for n in names])))
     d = grid.join(every, ["adapter", "module"], "left").join(want, "module", "left")
     bad = ~F.coalesce(F.col("d") == F.col("want"), F.lit(False))
     d = d.groupBy("module", "a_key", "b_key").agg(F.array_sort(F.collect_list(F.when(bad, F.col("adapter")))).alias("offenders"))

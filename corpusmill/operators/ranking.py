@@ -49,16 +49,20 @@ def first_per_key(df: DataFrame, key: list[Column | str], order: Column, last: b
 
 
 def quantiles(df: DataFrame, col: str, qs: list[float], group: list[str] | None = None, buckets: int = 1024) -> DataFrame:
-    """Exact interpolated quantiles of the finite values of ``col`` for each group: columns q0, q1, ...
+    """Exact interpolated quantiles of the finite values of ``col`` for each group: columns q0, q1, ... and n, min, mean.
 
     Equal values are counted first; values are bucketed by their place between the group's least and largest.
-    Groups without a finite value are left out.
+    Groups without a finite value are left out; without groups there is one row, of nulls and n = 0 if nothing is finite.
     """
     group = group or []
     v = df.select(*[F.coalesce(F.col(g), F.lit("")).alias(g) for g in group], F.col(col).cast("double").alias("v")).where(F.abs("v") < float("inf"))
     d = v.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
     ends = d.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("all"))
-    d = d.join(ends, group) if group else d.crossJoin(F.broadcast(ends))  # one row
+    if group:
+        d = d.join(ends, group)
+    else:
+        one = ends.first()  # three numbers
+        d = d.withColumns({k: F.lit(one[k]) for k in ("lo", "hi", "all")}) if one["all"] else d.withColumns({"lo": F.lit(0.0), "hi": F.lit(0.0), "all": F.lit(0)})
     span = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     d = d.withColumn("b", F.least(F.floor(span * buckets), F.lit(buckets - 1)))
     sums = d.groupBy(*group, "b").agg(F.sum("n").alias("bn"))
@@ -74,7 +78,8 @@ def quantiles(df: DataFrame, col: str, qs: list[float], group: list[str] | None
         b = F.max(F.when((F.col("start") <= high) & (high < F.col("stop")), F.col("v")))
         frac = F.max(at - low)
         out.append((a + (b - a) * frac).alias(f"q{i}"))
-    return d.groupBy(*group).agg(*out)
+    sums = [F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("v").alias("min"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")]
+    return d.groupBy(*group).agg(*out, *sums)
 
 
 def sample_indexes(seed: str, n: int, k: int) -> list[int]:

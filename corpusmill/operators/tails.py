@@ -89,9 +89,7 @@ def round_robin(rows: DataFrame, per_task: int, max_rows: int, seed: int, row: s
 
 def score_summary(rows: DataFrame) -> DataFrame:
     """One row: n, min, p01, p05, p50 and mean of the scores."""
-    q = quantiles(rows, "score", [0.01, 0.05, 0.5]).withColumnsRenamed({"q0": "p01", "q1": "p05", "q2": "p50"})
-    s = rows.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("min"), F.avg("score").alias("mean"))
-    return s.crossJoin(q)  # one row each
+    return quantiles(rows, "score", [0.01, 0.05, 0.5]).withColumnsRenamed({"q0": "p01", "q1": "p05", "q2": "p50"})
 
 
 # Patterns that speak for a path.
@@ -116,15 +114,13 @@ def path_scores(selected: DataFrame, worst: DataFrame, bit_sources: tuple[str, .
         return F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
 
     symbolic = task.contains("symbolic") | task.contains("equation")
-    a = selected.agg(
-        F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"),
-        total(task.contains("bit")).alias("bt"),
-        total(named).alias("bs"),
-        total(symbolic).alias("st"),
-        total(hits).alias("ff"),
-    )
+    zero = F.lit(0.0)
+    a = selected.select(F.lit(1.0).alias("n"), *[c.cast("double").alias(k) for k, c in (("bt", task.contains("bit")), ("bs", named), ("st", symbolic), ("ff", hits))])
     text = text_of(F.col("worst_context"))
-    b = worst.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("m"), *[total(text.rlike(p)).alias(k) for k, p in (("bc", BIT), ("sc", SYMBOLIC), ("fc", FORMAT))])
+    b = worst.select(F.lit(1.0).alias("m"), *[text.rlike(p).cast("double").alias(k) for k, p in (("bc", BIT), ("sc", SYMBOLIC), ("fc", FORMAT))])
+    # one aggregate over both sets of rows
+    both = a.unionByName(b, allowMissingColumns=True)
+    sums = both.agg(*[total(F.col(k)).alias(k) for k in both.columns]).withColumns({k: F.greatest(F.col(k), zero + 1) for k in ("n", "m")})
     col = F.col
     paths = F.array(
         F.struct(F.lit("symbolic_operator").alias("path"), (col("st") / col("n") + 0.35 * col("sc") / col("m")).alias("score")),
@@ -132,14 +128,15 @@ def path_scores(selected: DataFrame, worst: DataFrame, bit_sources: tuple[str, .
         F.struct(F.lit("formatting_repair").alias("path"), (0.5 * col("ff") / col("n") + 0.6 * col("fc") / col("m")).alias("score")),
         F.struct(F.lit("adapter_arithmetic").alias("path"), F.lit(0.05).alias("score")),
     )
-    return a.crossJoin(b).select(F.inline(paths))  # one row each
+    return sums.select(F.inline(paths))
 
 
 def choose_path(scores: DataFrame, least: float = 0.25, lead: float = 0.08) -> DataFrame:
     """Adds ``chosen``: the best path, or ``inspect_manually`` when it is weak or hardly leads."""
-    top = scores.agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "path")), asc=False), 1, 2).alias("t"))  # four rows
+    d = scores.agg(F.sort_array(F.collect_list(F.struct("score", "path")), asc=False).alias("t"))  # one entry for each path
     weak = (F.col("t")[0]["score"] < least) | (F.col("t")[0]["score"] - F.coalesce(F.try_element_at("t", F.lit(2))["score"], F.lit(0.0)) < lead)
-    return scores.crossJoin(top).select("path", "score", F.when(weak, "inspect_manually").otherwise(F.col("t")[0]["path"]).alias("chosen"))
+    d = d.where(F.size("t") > 0).withColumn("chosen", F.when(weak, "inspect_manually").otherwise(F.col("t")[0]["path"]))
+    return d.select("chosen", F.explode("t").alias("r")).select("r.path", "r.score", "chosen")
 
 
 def worst_tokens(rows: DataFrame, token: str, score: str, row: str, top: int = 5) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zipfile
 from collections.abc import Callable
 
@@ -105,12 +104,16 @@ def replay_order(order: DataFrame, corpus: DataFrame, key: str = "problem_id", e
     return corpus.join(first, key).orderBy("pos")
 
 
-def adapter_folder(path: str) -> str:
-    """Folder of an adapter given as a folder, a file in it or a zip, whose members are matched by their base names."""
+def adapter_folder(path: str, unpack: str | None = None) -> str:
+    """Folder of an adapter given as a folder, a file in it or a zip, whose members are matched by their base names.
+
+    A zip is unpacked to ``unpack``, which all executors must see; beside the zip if none is given.
+    """
     if os.path.isdir(path):
         return path
     if path.endswith(".zip"):
-        out = tempfile.mkdtemp(prefix="adapter-")
+        out = unpack or path.removesuffix(".zip")
+        os.makedirs(out, exist_ok=True)
         with zipfile.ZipFile(path) as z:
             for n in z.namelist():
                 if os.path.basename(n) in ("adapter_config.json", "adapter_model.safetensors"):

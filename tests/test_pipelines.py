@@ -115,6 +115,19 @@ def test_merge_plan_and_merge(spark):
     assert {r.module: r["scale"] for r in s.collect()} == {"m.in_proj": 4.0, "k": 4.0}
 
 
+def test_adapter_folder(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("deep/adapter_config.json", "{}")
+        z.writestr("deep/other.txt", "x")
+    out = catalog.adapter_folder(str(tmp_path / "a.zip"))
+    assert out == str(tmp_path / "a") and (tmp_path / "a" / "adapter_config.json").exists() and not (tmp_path / "a" / "other.txt").exists()
+    assert catalog.adapter_folder(out) == out
+    with pytest.raises(FileNotFoundError):
+        catalog.adapter_folder(str(tmp_path / "none.zip"))
+
+
 def test_discovery(spark):
     f = spark.createDataFrame([("d", "/a/x.csv", 5), ("d", "/a/nemo_1.jsonl", 9), ("d", "/a/y.bin", 1), ("e", "/b/t/1.txt", 1), ("e", "/b/2.txt", 1), ("e", "/b/t/3.txt", 1)], "dataset string, path string, length long")
     assert sorted((r.kind, r.label) for r in catalog.discover(f).collect()) == [("generic_csv", "d_2"), ("nemo_jsonl", "d")]

@@ -30,6 +30,7 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([], "g string, x long")
     assert ranking.ordered_rank(d, ["g"], ranking.range_bucket(F.col("x")), ["x"]).count() == 0
     assert ranking.quantiles(d, "x", [0.5], ["g"]).count() == 0
+    assert ranking.quantiles(d, "x", [0.5]).first().asDict() == {"q0": None, "n": 0, "min": None, "mean": None}
     assert ranking.first_per_key(d, ["g"], F.col("x")).count() == 0
     assert ranking.seeded_sample(d, "g", "x", {"a": 3}, 1).count() == 0
 
