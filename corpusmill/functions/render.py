@@ -65,3 +65,8 @@ def tokenized(df: DataFrame, keep: list[str], encoder: Callable[[], Callable[[st
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     out = "input_ids array<int>, loss_mask array<int>, prompt_len int, completion_len int, truncated boolean, prefix_mismatch boolean"
     return df.select(*keep, user.alias("_p"), full.alias("_t")).mapInArrow(run, f"{fields}, {out}")
+
+
+def corpus_text(completion: Column, answer: Column) -> Column:
+    """A completion as it is trained on: reasoning closed, answer in a box, turn ended."""
+    return F.concat(F.regexp_replace(text_of(completion), r"(?U)\s+\z", ""), F.lit("\n</think>\n\\boxed{"), text_of(answer), F.lit("}" + END))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import REWARD_TASKS
 
+# Shapes of answers and of the lines that state them.
 _SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 _BINARY = re.compile(r"[01]+")

@@ -150,7 +150,7 @@ def redact_json(col: Column) -> Column:
 
 
 def disposition(group: Column, path: Column) -> Column:
-    """(class, reason) of a file by its group and path."""
+    """(class, reason) of a file by its group and path; groups, classes and name patterns are fixed values."""
     low = F.lower(path)
 
     def struct(kind: str, reason: str) -> Column:
@@ -172,3 +172,23 @@ def disposition(group: Column, path: Column) -> Column:
 def inventory(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, bytes, sha256) of rows of binary files."""
     return files.select(F.col(path).alias("path"), F.length(content).cast("bigint").alias("bytes"), F.sha2(F.col(content), 256).alias("sha256"))
+
+
+def stable_unique(values: Column) -> Column:
+    """Distinct texts of an array in order, stripped, blanks and nulls dropped."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def counts_of(raw: Column) -> Column:
+    """A map of texts to whole numbers, entries that aren't numbers dropped."""
+    return F.map_filter(F.transform_values(raw, lambda _, v: v.try_cast("bigint")), lambda _, v: v.isNotNull())
+
+
+def matches_any(needles: str, *cols: Column) -> Column:
+    """Whether any of the comma-separated needles occurs, without case, in the joined columns; no needle matches all."""
+    words = [w.strip().lower() for w in needles.split(",") if w.strip()]
+    hay = F.lower(F.concat_ws(" ", *cols))
+    out = F.lit(not words)
+    for w in words:
+        out = out | hay.contains(w)
+    return out

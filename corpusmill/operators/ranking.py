@@ -82,6 +82,46 @@ def quantiles(df: DataFrame, col: str, qs: list[float], group: list[str] | None
     return d.groupBy(*group).agg(*out, *sums)
 
 
+def upper_median(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
+    """``median`` of each group: the upper of the two middle values; nulls don't count."""
+    group = group or []
+    d = df.select(*group, F.col(col).alias("v")).where("v is not null").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    return _at_half(d, group)
+
+
+def _at_half(d: DataFrame, group: list[str]) -> DataFrame:
+    """The value at which the counts of distinct values pass half of their sum."""
+    b = F.floor(F.signum("v") * F.log1p(F.abs("v")) * 256)
+    d = d.withColumn("b", b)
+    sums = d.groupBy(*group, "b").agg(F.sum("n").alias("bn"))
+    over = W.partitionBy(*group).orderBy("b") if group else W.orderBy("b")
+    before = sums.withColumn("before", F.sum("bn").over(over) - F.col("bn")).drop("bn")
+    total = sums.groupBy(*group).agg(F.sum("bn").alias("all"))
+    own = F.sum("n").over(W.partitionBy(*group, "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("own", own).join(before, [*group, "b"])
+    d = d.join(total, group) if group else d.withColumn("all", F.lit((total.first() or [0])[0]))
+    at = F.floor(F.col("all") / 2)
+    stop = F.col("before") + F.col("own")
+    return d.where((stop - F.col("n") <= at) & (at < stop)).select(*group, F.col("v").alias("median"))
+
+
+def hash_shuffle(df: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Rows in an order that depends on their key and the seed only."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), *key)
+
+
+def permutation(n: int, seed: int) -> list[int]:
+    """A seeded order of ``n`` positions."""
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return order
+
+
+def steps(wanted: int, n: int, batch: int) -> int:
+    """Training steps: as many as wanted, at most the full batches of ``n`` rows."""
+    return min(wanted, n // batch)
+
+
 def sample_indexes(seed: str, n: int, k: int) -> list[int]:
     """Sorted indexes of a seeded sample without replacement of ``k`` out of ``n``, depending on nothing else."""
     return sorted(random.Random(seed).sample(range(n), k)) if 0 < k < n else list(range(n))

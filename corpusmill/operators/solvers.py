@@ -32,6 +32,7 @@ CRYPT_FORMATS = [f for f in FORMATS if "_op_" not in f]
 #: most symbols of an equation, candidate maps of one equation, nodes of one search, nodes of one prompt, words tried for a place
 SYMBOLS, MAPS, NODES, PROMPT_NODES, WORDS = 7, 60, 5_000, 20_000, 80
 
+# The sentences and lines of prompts.
 _DECIMAL = r"([0-9]+(?:\.[0-9]+)?)"
 _NUMERAL = re.compile(r"write the number\s+(\d+)\s+in the Wonderland numeral system", re.I)
 _FALL = re.compile(rf"For t = {_DECIMAL}s, distance = {_DECIMAL} m")
@@ -525,3 +526,13 @@ def accuracy(results: DataFrame) -> DataFrame:
 def trace_text(family: Column, prediction: Column) -> Column:
     """A short worked text with the prediction in a box."""
     return F.concat(F.upper(family), F.lit("\nFinal answer: \\boxed{"), prediction, F.lit("}"))
+
+
+def method_histogram(results: DataFrame) -> DataFrame:
+    """(family, method, n) of results."""
+    return results.groupBy("family", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+def correct_traces(results: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, family, method, prediction and a worked text of the correct results."""
+    return results.where("correct").select(*keep, "family", "method", "prediction", trace_text(F.col("family"), F.col("prediction")).alias("completion"))

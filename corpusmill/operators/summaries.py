@@ -79,3 +79,9 @@ def tail_summary(rows: DataFrame, selected: DataFrame, holdout: DataFrame, token
     if token:
         out["selected_worst_tokens"] = [{"worst_token_text": k, "count": n} for k, n in counter(selected, F.col(token), top=30).items()]
     return out
+
+
+def dry_run(records: DataFrame, examples: DataFrame, key: str) -> DataFrame:
+    """Records without an example, then the examples: what a run would write; ``is_example`` tells them apart."""
+    left = records.join(examples.select(key).distinct(), key, "left_anti").withColumn("is_example", F.lit(False))
+    return left.unionByName(examples.withColumn("is_example", F.lit(True)), allowMissingColumns=True)

@@ -139,6 +139,22 @@ def choose_path(scores: DataFrame, least: float = 0.25, lead: float = 0.08) -> D
     return d.select("chosen", F.explode("t").alias("r")).select("r.path", "r.score", "chosen")
 
 
+# What each path asks for.
+ADVICE = {
+    "symbolic_operator": "make a verifier or a generate-and-verify set for operators before any training on given answers",
+    "bit_repair": "train on verified bit pairs against known failures, with a held-out anchor",
+    "formatting_repair": "shorten traces or weigh the final answer; add no reasoning data before the formatting tail is smaller",
+    "adapter_arithmetic": "try an anchored merge of adapters of equal shape; copy what doesn't fit from the anchor",
+    "inspect_manually": "look at the worst contexts and widen the audit until one path leads",
+}
+
+
+def score_fields(score: str) -> tuple[str, str, str]:
+    """Columns of mean, token and context that belong to a score."""
+    p = "content_" if score.startswith("content_") else ""
+    return f"{p}mean_logprob", f"{p}worst_token_text", f"{p}worst_context"
+
+
 def worst_tokens(rows: DataFrame, token: str, score: str, row: str, top: int = 5) -> DataFrame:
     """(token, n, mean_score, min_score, top_sources, top_tasks, examples) of each token with a finite score.
 

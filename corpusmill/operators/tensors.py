@@ -132,3 +132,40 @@ def load_mapping(adapter: DataFrame, model: DataFrame, variants: Column) -> Data
     hit = v.join(model.select(F.col("key").alias("target")), "target", "left_semi").groupBy("key").agg(F.min_by("target", "pos").alias("target"))
     uses = hit.groupBy("target").agg((F.count(F.lit(1)) > 1).alias("shared"))
     return adapter.select("key").join(hit.join(uses, "target"), "key", "left").select("key", "target", F.coalesce("shared", F.lit(False)).alias("shared"))
+
+
+def renamed(key: Column, steps: list[tuple[str, str]]) -> Column:
+    """A name after replacements in order."""
+    for old, new in steps:
+        key = F.replace(key, F.lit(old), F.lit(new))
+    return key
+
+
+def restored(key: Column, mode: str, endings: tuple[str, ...] = ()) -> Column:
+    """Whether a tensor is taken back from the reference: none, all factors of experts, or experts with given endings."""
+    expert = key.contains(".experts.")
+    if mode == "none":
+        return F.lit(False)
+    if mode in ("all_moe", "all_experts"):
+        return expert & (key.contains(".lora_A.") | key.contains(".lora_B."))
+    if mode == "broken_moe":
+        hit = F.lit(False)
+        for e in endings:
+            hit = hit | key.endswith(e)
+        return expert & hit
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def adapter_spec(text: str) -> tuple[str, str, float]:
+    """``name=path:weight``."""
+    name, _, rest = text.partition("=")
+    path, sep, weight = rest.rpartition(":")
+    if not (name and path and sep):
+        raise ValueError(f"{text!r} isn't name=path:weight")
+    return name, path, float(weight)
+
+
+def checked(comparison: DataFrame, min_cosine: float = 0.999, max_delta: float = 1e-8) -> DataFrame:
+    """A comparison that fails when run if a tensor is missing, has another shape, or differs beyond the limits."""
+    ok = (F.col("missing") == 0) & (F.col("other_shape") == 0) & (F.col("min_cosine") >= min_cosine) & (F.col("mean_delta") <= max_delta)
+    return comparison.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.concat(F.lit("tensors differ in "), F.col("category").cast("string"))).isNull())

@@ -90,3 +90,17 @@ def common_prefix(a: Column, b: Column) -> Column:
 def weighted_mean(value: str, weight: str) -> Column:
     """sum(x * w) / sum(w); null without weight."""
     return F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0))
+
+
+def with_logprobs(df: DataFrame, keep: list[str], scorer, ids: str = "input_ids") -> DataFrame:
+    """``keep``, ids and ``logprobs`` (array<double>) by a model; ``scorer`` makes, in the worker, a function from lists of ids to lists of log-probabilities."""
+    import pyarrow as pa
+
+    def run(batches):
+        score = scorer()
+        for b in batches:
+            out = pa.array(score(b.column(len(keep)).to_pylist()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "logprobs"])
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keep, ids])
+    return df.select(*keep, ids).mapInArrow(run, f"{fields}, logprobs array<double>")

@@ -125,3 +125,22 @@ def adapter_folder(path: str, unpack: str | None = None) -> str:
     if os.path.isfile(path):
         return os.path.dirname(path)
     raise FileNotFoundError(path)
+
+
+def pick_archive(paths: list[str], name: str) -> str:
+    """The zip whose name holds ``name``, else any; the shortest path first."""
+    zips = [p for p in paths if p.endswith(".zip")]
+    if not zips:
+        raise FileNotFoundError("no archive")
+    return min(zips, key=lambda p: (name not in os.path.basename(p), len(p), p))
+
+
+def checked_config(config: dict, most_rank: int = 32, base_model: str | None = None) -> dict:
+    """An adapter configuration that is of the right kind, rank and base model; an error otherwise."""
+    if str(config.get("peft_type", "")).upper() != "LORA":
+        raise ValueError("not a low-rank adapter")
+    if int(config.get("r", 0)) > most_rank:
+        raise ValueError(f"rank {config['r']} is above {most_rank}")
+    if base_model and base_model not in str(config.get("base_model_name_or_path", "")):
+        raise ValueError("another base model")
+    return config
