@@ -11,13 +11,13 @@ import unicodedata
 
 # Frequent function words.
 STOPWORDS = {
-    "en": "the of and to is that for with was it on as are this by be from or at which we they not have before every its so if when only after each".split(),
-    "de": "der die das und ist nicht ein eine zu den mit von dem auf wird wir im für sich auch als nur noch wenn dann es aus wie bei hat jede zum".split(),
-    "fr": "le la les des est et un une du que dans pour pas qui sur au avec ne ce se nous en par sont plus cette aux ces donc chaque il".split(),
-    "es": "el la los las de y que en un una es por con no para se del al su como más pero lo cada este entre cuando sus ha".split(),
-    "pt": "o a os as de e que em um uma é por com não para se do da no na ao mais como mas foi cada este dos das seu".split(),
-    "it": "il la i gli le di e che in un una è per con non si del della al da come più ma sono ogni questo viene nel dei alla lo".split(),
-    "nl": "de het een en van is dat niet te op voor met zijn er aan als wordt dan om bij ook maar naar wij we nu deze uit die elke".split(),
+    "en": "the of and to is that for with was it on as are this by be from at we not but i so if when only you in".split(),
+    "de": "der die das und ist nicht ein eine zu den mit von dem auf wird wir im für sich es aus wie ich kann keine bei jede dann".split(),
+    "fr": "le la les des est et un une du que dans pour pas qui sur au ne ce se nous en je cette ces à chaque selon par".split(),
+    "es": "el la los las de y que en un una es por con no a se del al su como esta este para lo me pero cada cuando".split(),
+    "pt": "o a os as de e que em um uma é por com não para se do da na ao mais como mas esta este isso me cada".split(),
+    "it": "il la i gli le di e che un una è per con non si del della da alla questo questa ma ogni come a mi sono se".split(),
+    "nl": "de het een en van is dat niet te op voor met zijn er aan als wordt bij ik kan geen deze dit naar wij we hun elke".split(),
 }
 _VOTE: dict[str, tuple[tuple[str, float], ...]] = {}
 for _lang, _words in STOPWORDS.items():
@@ -34,8 +34,13 @@ _HAN = re.compile("[一-鿿]")
 _CYR = re.compile("[Ѐ-ӿ]+")
 
 
+#: lines of data have words of their own grammar, whatever the language around them
+_DATA = re.compile(r"^[^\n]*(?:->|=|\bbecomes\b)[^\n]*$", re.M)
+
+
 def votes(text: str) -> tuple[str | None, float, float]:
-    """(winner or None, its votes, votes of the second)."""
+    """(winner or None, its votes, votes of the second); lines of data don't vote."""
+    text = _DATA.sub("", text)
     han = len(_HAN.findall(text))
     cyr = _CYR.findall(text)
     tally: dict[str, float] = {}
