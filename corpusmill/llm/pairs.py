@@ -62,7 +62,7 @@ def is_copy(prompt: str | None, text: str | None) -> bool:
     if len(tokens) < COPY_WORDS:
         return False
     known = _prompt(prompt)[1]
-    if sum(t in known for t in tokens) < COPY_SHARE * len(tokens):
+    if sum(map(known.__contains__, tokens)) < COPY_SHARE * len(tokens):
         return False  # every copied word is a known word, so the share can't be reached
     n, gap = _automaton(prompt).covered(tokens, COPY_RUN)
     return n >= COPY_SHARE * len(tokens) and gap <= COPY_GAP

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 # Frequent function words.
 STOPWORDS = {
@@ -34,24 +35,27 @@ _HAN = re.compile("[一-鿿]")
 _CYR = re.compile("[Ѐ-ӿ]+")
 
 
-#: lines of data have words of their own grammar, whatever the language around them
-_DATA = re.compile(r"^[^\n]*(?:->|=|\bbecomes\b)[^\n]*$", re.M)
+def _prose_lines(text: str) -> str:
+    """Without lines of data, which have words of their own grammar whatever the language around them."""
+    if "->" in text or "=" in text or " becomes " in text:
+        return "\n".join(x for x in text.split("\n") if "->" not in x and "=" not in x and " becomes " not in x)
+    return text
 
 
 def votes(text: str) -> tuple[str | None, float, float]:
     """(winner or None, its votes, votes of the second); lines of data don't vote."""
-    text = _DATA.sub("", text)
-    han = len(_HAN.findall(text))
-    cyr = _CYR.findall(text)
+    text = _prose_lines(text)
     tally: dict[str, float] = {}
-    if han:
-        tally["zh"] = han / 2.0
-    if cyr:
-        tally["ru"] = sum(map(len, cyr)) / 6.0
-    get = _VOTE.get
-    for w in _WORD.findall(text.lower()):
-        for lang, v in get(w, ()):
-            tally[lang] = tally.get(lang, 0.0) + v
+    if not text.isascii():
+        if han := len(_HAN.findall(text)):
+            tally["zh"] = han / 2.0
+        if cyr := _CYR.findall(text):
+            tally["ru"] = sum(map(len, cyr)) / 6.0
+    counts = Counter(_WORD.findall(text.lower()))
+    for w in counts.keys() & _VOTE.keys():
+        n = counts[w]
+        for lang, v in _VOTE[w]:
+            tally[lang] = tally.get(lang, 0.0) + n * v
     if not tally:
         return None, 0.0, 0.0
     top = sorted(tally.items(), key=lambda x: (-x[1], x[0]))
