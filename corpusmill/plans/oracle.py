@@ -266,10 +266,10 @@ def oracle_sql() -> dict[str, str]:
         "best_positives": f"""SELECT id, row AS positive, source FROM (SELECT id, trace_id AS row, source, completion FROM {_GOLD} WHERE {_FINAL} = {_strip('gold')})
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY {priority}, length(coalesce(completion, '')), row) = 1""",
         "margin_sets": " UNION ALL ".join(
-            f"SELECT {d} AS dim, {v} AS value, count(*) AS n, round(avg(m), 6) AS mean_margin, round(avg((m > 0)::double), 6) AS win_rate FROM (SELECT coalesce(source, '') AS source, coalesce(method, '') AS method, mean_logprob - min_logprob AS m FROM {_SCORED}) WHERE isfinite(m) GROUP BY ALL"
+            f"SELECT {d} AS dim, {v} AS value, count(*) AS n, round(avg(m), 9) AS mean_margin, round(avg((m > 0)::double), 9) AS win_rate FROM (SELECT coalesce(source, '') AS source, coalesce(method, '') AS method, mean_logprob - min_logprob AS m FROM {_SCORED}) WHERE isfinite(m) GROUP BY ALL"
             for d, v in (("'all'", "''"), ("'source'", "source"), ("'method'", "method"))
         ),
-        "margin_medians": f"SELECT coalesce(source, '') AS source, round(quantile_cont(mean_logprob - min_logprob, 0.5), 6) AS median FROM {_SCORED} WHERE isfinite(mean_logprob - min_logprob) GROUP BY 1",
+        "margin_medians": f"SELECT coalesce(source, '') AS source, round(quantile_cont(mean_logprob - min_logprob, 0.5), 9) AS median FROM {_SCORED} WHERE isfinite(mean_logprob - min_logprob) GROUP BY 1",
         "token_examples": f"""SELECT rec_id, len(input_ids)::int AS full_len, coalesce(nullif(coalesce(list_position(loss_mask, 1), 0), 0) - 1, len(loss_mask))::int AS prompt_len, len(input_ids) > 256 AS truncated,
           least(len(input_ids), 256)::int AS n_ids, coalesce(list_sum(loss_mask[1:256]), 0)::bigint AS n_scored FROM tokenized_records WHERE {usable}""",
         "shifted_tokens": f"""SELECT rec_id, n::int AS n, list_sum(loss_mask[2:n + 1])::bigint AS weight, input_ids[2] AS first_target, input_ids[n + 1] AS last_target

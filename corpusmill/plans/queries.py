@@ -189,12 +189,12 @@ def verifier(t: DataFrame, p: DataFrame) -> DataFrame:
 
 def margin_sets(h: DataFrame) -> DataFrame:
     d = preferences.margins(_scored(h).select("mean_logprob", "min_logprob", "source", F.col("method")), F.col("mean_logprob"), F.col("min_logprob"), ["source", "method"])
-    return d.select("dim", "value", "n", F.round("mean_margin", 6).alias("mean_margin"), F.round("win_rate", 6).alias("win_rate"))
+    return d.select("dim", "value", "n", F.round("mean_margin", 9).alias("mean_margin"), F.round("win_rate", 9).alias("win_rate"))
 
 
 def margin_medians(h: DataFrame) -> DataFrame:
     d = preferences.margin_medians(_scored(h), F.col("mean_logprob"), F.col("min_logprob"), "source")
-    return d.select("source", F.round("median", 6).alias("median"))
+    return d.select("source", F.round("median", 9).alias("median"))
 
 
 # tokens and tensors --------------------------------------------------------------------------------
