@@ -456,8 +456,8 @@ def family(prompt: Column) -> Column:
         .when(p.rlike(r"For t = [0-9.]+s, distance"), "gravity_physics")
         .when(p.rlike(r"[0-9.]+ m becomes "), "unit_conversion")
         .when(p.rlike(r"[01]{8} -> [01]{8}"), "bit_manipulation")
-        .when(p.rlike(r"(?m)^[a-z ]+ -> [a-z ]+$"), "text_cipher")
-        .when(p.rlike(r"(?m)^\S{5} = \S+$"), "symbolic_equation")
+        .when(p.rlike(r"(?md)^[a-z ]+ -> [a-z ]+$"), "text_cipher")
+        .when(p.rlike(r"(?md)^\S{5} = \S+$"), "symbolic_equation")
         .otherwise("unknown")
     )
 

@@ -192,7 +192,7 @@ def _worst_tokens() -> str:
     return f"""WITH d AS (SELECT worst_context AS token, min_logprob AS v, coalesce(source, '') AS source, coalesce(task_type, '') AS task, row_index AS row
         FROM {_SCORED} WHERE worst_context IS NOT NULL AND min_logprob IS NOT NULL AND isfinite(min_logprob)),
       e AS (SELECT token, string_agg(row::varchar, '|' ORDER BY row) AS examples FROM (SELECT token, row FROM d QUALIFY row_number() OVER (PARTITION BY token ORDER BY row) <= 5) GROUP BY token)
-      SELECT token, count(*) AS n, round(avg(v), 9) AS mean_score, min(v) AS min_score, any_value(top_sources) AS top_sources, any_value(top_tasks) AS top_tasks, any_value(examples) AS examples
+      SELECT token, count(*) AS n, round(avg(v) * count(*), 6) / count(*) AS mean_score, min(v) AS min_score, any_value(top_sources) AS top_sources, any_value(top_tasks) AS top_tasks, any_value(examples) AS examples
       FROM d JOIN {top("source", "top_sources")} USING (token) JOIN {top("task", "top_tasks")} USING (token) JOIN e USING (token) GROUP BY token"""
 
 
@@ -266,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "best_positives": f"""SELECT id, row AS positive, source FROM (SELECT id, trace_id AS row, source, completion FROM {_GOLD} WHERE {_FINAL} = {_strip('gold')})
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY {priority}, length(coalesce(completion, '')), row) = 1""",
         "margin_sets": " UNION ALL ".join(
-            f"SELECT {d} AS dim, {v} AS value, count(*) AS n, round(avg(m), 9) AS mean_margin, round(avg((m > 0)::double), 9) AS win_rate FROM (SELECT coalesce(source, '') AS source, coalesce(method, '') AS method, mean_logprob - min_logprob AS m FROM {_SCORED}) WHERE isfinite(m) GROUP BY ALL"
+            f"SELECT {d} AS dim, {v} AS value, count(*) AS n, round(avg(m) * count(*), 6) / count(*) AS mean_margin, round(avg((m > 0)::double), 9) AS win_rate FROM (SELECT coalesce(source, '') AS source, coalesce(method, '') AS method, mean_logprob - min_logprob AS m FROM {_SCORED}) WHERE isfinite(m) GROUP BY ALL"
             for d, v in (("'all'", "''"), ("'source'", "source"), ("'method'", "method"))
         ),
         "margin_medians": f"SELECT coalesce(source, '') AS source, round(quantile_cont(mean_logprob - min_logprob, 0.5), 9) AS median FROM {_SCORED} WHERE isfinite(mean_logprob - min_logprob) GROUP BY 1",

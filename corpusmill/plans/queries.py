@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rewards
@@ -25,6 +25,11 @@ def _over(name: str, how: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda s, d: how(table(s, d, name))
 
 
+def _mean(c: str) -> Column:
+    """A mean over ``n`` rows by its rounded sum: a rounded mean of short decimals could fall on a tie."""
+    return F.round(F.col(c) * F.col("n"), 6) / F.col("n")
+
+
 def _both(a: str, b: str, how: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda s, d: how(table(s, d, a), table(s, d, b))
 
@@ -162,7 +167,7 @@ def decision(h: DataFrame) -> DataFrame:
 
 def worst_tokens(h: DataFrame) -> DataFrame:
     d = tails.worst_tokens(_scored(h), "worst_context", "min_logprob", "row_index")
-    return d.withColumns({c: F.round(c, 9) for c in ("mean_score",)})
+    return d.withColumn("mean_score", _mean("mean_score"))
 
 
 # preferences -----------------------------------------------------------------------------------
@@ -189,7 +194,7 @@ def verifier(t: DataFrame, p: DataFrame) -> DataFrame:
 
 def margin_sets(h: DataFrame) -> DataFrame:
     d = preferences.margins(_scored(h).select("mean_logprob", "min_logprob", "source", F.col("method")), F.col("mean_logprob"), F.col("min_logprob"), ["source", "method"])
-    return d.select("dim", "value", "n", F.round("mean_margin", 9).alias("mean_margin"), F.round("win_rate", 9).alias("win_rate"))
+    return d.select("dim", "value", "n", _mean("mean_margin").alias("mean_margin"), F.round("win_rate", 9).alias("win_rate"))
 
 
 def margin_medians(h: DataFrame) -> DataFrame:
