@@ -188,14 +188,21 @@ def _softmax(x: list[float]) -> list[float]:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """The model of at most ``sample`` labelled documents, chosen by hash."""
+    """The model of at most ``sample`` labelled documents, chosen by the hash of their ids.
+
+    The hash first thins the documents to about that number, so that each task hands on its few.
+    """
     spelled = F.create_map(*[F.lit(x) for kv in _SPELLED.items() for x in kv])
     head = F.element_at(F.split(F.lower(F.trim("lang")), r"[-_ (,;/]"), 1)
     code = F.coalesce(F.try_element_at(spelled, F.lower(F.trim("lang"))), F.try_element_at(spelled, head))
+    h = F.xxhash64("doc_id")
+    labelled = documents.where(code.isNotNull())
+    every = max(1, labelled.select("lang").count() // sample)
     rows = (
-        documents.select(code.alias("code"), "text", F.xxhash64("text").alias("h"))
-        .where(F.col("code").isNotNull() & F.length("text").between(*SAMPLE_CHARS))
-        .orderBy("h", "code")
+        labelled.where(F.pmod(h, F.lit(every)) == 0)
+        .select(code.alias("code"), "text", h.alias("h"))
+        .where(F.length("text").between(*SAMPLE_CHARS))
+        .orderBy("h", "code", "text")
         .limit(sample)
         .collect()
     )
