@@ -16,7 +16,10 @@ def candidates(
 
     A trace without a train row is named by its id or its row.  Null fields read as empty.
     """
-    d = tiered_lookup(traces, train, row, order)
+    # only the columns used here, so that no other can clash
+    used = ("id", "source", "task_type", "prompt", "answer", "completion", "method")
+    flagged = F.coalesce(oracle, F.lit(False)) if oracle is not None else F.lit(False)
+    d = tiered_lookup(traces.select(F.col(row), *[c for c in used if c != row], flagged.alias("_oracle")), train, row, order)
     joined = F.col("train_id").isNotNull()
     raw_prompt, raw_answer = normal_prompt(F.col("prompt")), normal_answer(F.col("answer"))
     prompt = F.when(joined, normal_prompt(F.col("train_prompt"))).otherwise(raw_prompt)
@@ -41,7 +44,7 @@ def candidates(
         flag("final_boxed_mismatch", boxed & (F.col("_box") != F.col("_a"))),
         flag("boxed_appended", attach),
         flag("no_boxed", ~boxed & ~attach),
-        flag("oracle_true", F.coalesce(oracle, F.lit(False)) if oracle is not None else F.lit(False)),
+        flag("oracle_true", F.col("_oracle")),
         *[F.lit(f) for f in forced or []],
     ]
     d = d.withColumn("quality_flags", join_flags(*flags))

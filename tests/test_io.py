@@ -49,7 +49,7 @@ def test_sinks(spark, tmp_path):
 
 def test_candidates_of_odd_rows(spark):
     train = spark.createDataFrame([("a", "p", "1")], "id string, prompt string, answer string")
-    schema = "trace_id long, id string, source string, task_type string, prompt string, answer string, completion string, method string, k string, train_x int"
+    schema = "trace_id long, id string, source string, task_type string, prompt string, answer string, completion string, method string, k string, train_id int"
     rows = [
         (1, "a", "s", "t", "p\r\n", "1", r"\boxed{1}", "m", "clash", 1),
         (2, None, "s", None, " p ", None, r"\boxed{2} \boxed{}", None, None, None),
