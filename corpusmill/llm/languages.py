@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,34 +123,33 @@ class Model:
                 for g in self._grams(w):
                     triples[lang][g] += n
         self.langs = tuple(x for x in LANGS if words[x])
-        self.words = self._logs(words)
-        self.triples = self._logs(triples)
+        self.words, self.word_logs = self._logs(words)
+        self.triples, self.triple_logs = self._logs(triples)
 
     @staticmethod
     def _grams(w: str) -> list[str]:
         s = f" {w[:40]} "
         return [s[i : i + 3] for i in range(len(s) - 2)] if len(s) > 2 else [s]
 
-    def _logs(self, counts: dict[str, Counter]) -> dict[str, tuple[float, ...]]:
+    def _logs(self, counts: dict[str, Counter]) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of the entries, and one row of log likelihoods for each."""
         seen: Counter = Counter()
         for lang in self.langs:
             seen.update(counts[lang])
         total = {lang: sum(counts[lang].values()) + 0.5 * len(seen) for lang in self.langs}
         # single sightings are mostly names and noise of the sample
-        return {w: tuple(math.log((counts[x][w] + 0.5) / total[x]) for x in self.langs) for w, n in seen.items() if n > 1}
+        kept = [w for w, n in seen.items() if n > 1]
+        rows = np.array([[math.log((counts[x][w] + 0.5) / total[x]) for x in self.langs] for w in kept]).reshape(len(kept), len(self.langs))
+        return {w: i for i, w in enumerate(kept)}, rows
 
     def scores(self, tokens: list[str]) -> list[float]:
         """Log likelihood of the tokens in each language."""
-        total = [0.0] * len(self.langs)
-        for t in tokens:
-            row, weight = self.words.get(t), TEXT_WEIGHT
-            if row is not None:
-                total = [a + weight * b for a, b in zip(total, row, strict=True)]
-                continue
-            for g in self._grams(t):
-                if (row := self.triples.get(g)) is not None:
-                    total = [a + TRIPLE_WEIGHT * b for a, b in zip(total, row, strict=True)]
-        return total
+        at = list(map(self.words.get, tokens))
+        total = TEXT_WEIGHT * self.word_logs[[i for i in at if i is not None]].sum(axis=0)
+        rare = [g for t, i in zip(tokens, at, strict=True) if i is None for g in self._grams(t)]
+        if rare:
+            total = total + TRIPLE_WEIGHT * self.triple_logs[[i for i in map(self.triples.get, rare) if i is not None]].sum(axis=0)
+        return total.tolist()
 
     def best(self, tokens: list[str]) -> str | None:
         s = self.scores(tokens)
