@@ -16,6 +16,7 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -107,6 +108,14 @@ class Codec:
                     out += self.merge(raw) if len(raw) > PIECE_BYTES else self.lib.encode_ordinary(m[0])
         return out
 
+    def encode_array(self, text: str | None) -> np.ndarray:
+        """The same ids as an array, for short texts without a Python object for each id."""
+        if not text:
+            return np.empty(0, np.uint32)
+        if len(text) <= CHUNK_CHARS:
+            return self.lib.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        return np.array(self.encode(text), np.uint32)
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The raw bytes of ``ids``; ids outside the vocabulary give none."""
         get = self.bytes_of.get
@@ -125,11 +134,13 @@ def _encoder(path: str, keep: list[str], text: str, only_count: bool):
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            ids = [c.encode(t) for t in texts]
             if only_count:
-                out = pa.array([len(x) for x in ids], pa.int64())
+                out = pa.array([len(c.encode_array(t)) for t in texts], pa.int64())
             else:
-                out = pa.array(ids, pa.list_(pa.int32()))
+                ids = [c.encode_array(t) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*cols, out], names=[*keep, "n_tokens" if only_count else "ids"])
 
     return run
