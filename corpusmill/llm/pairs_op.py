@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,16 +88,18 @@ def _record_states(records: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            key, source, ids = b.column(0), b.column(1), b.column(2).to_pylist()
+            key, source, lists = b.column(0), b.column(1), b.column(2)
+            # one array for the batch and a short list for one record at a time
+            flat = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = lists.offsets.to_numpy()
             states, sizes = [], []
-            for x in ids:
-                k = n = len(x or ())
-                while k and (x[k - 1] == END_ID or x[k - 1] is None):  # padding aside
-                    k -= 1
-                sizes.append(n)
-                states.append(record_state(c.decode_bytes(x[:k])) if k else "empty")
+            for i in range(b.num_rows):
+                x = flat[at[i] : at[i + 1]] if lists[i].is_valid else flat[:0]
+                own = np.flatnonzero((x != END_ID) & (x >= 0))  # padding aside
+                sizes.append(len(x))
+                states.append(record_state(c.decode_bytes(x[: own[-1] + 1].tolist())) if len(own) else "empty")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["tokenized_records"] * len(ids), pa.string()), key, source, pa.array(sizes, pa.int64()), pa.array(states, pa.string())],
+                [pa.array(["tokenized_records"] * b.num_rows, pa.string()), key, source, pa.array(sizes, pa.int64()), pa.array(states, pa.string())],
                 names=["rec_table", "rec_key", "source", "n", "state"],
             )
 
