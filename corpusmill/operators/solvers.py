@@ -407,8 +407,131 @@ def _join_maps(lists: list[list[dict[str, str]]], enough: int) -> list[dict[str,
     return out if walk(0) else None
 
 
+#: codes of the signs of a rendered number; the minus is one of them
+_CODES = {c: i for i, c in enumerate("0123456789-")}
+
+
+@lru_cache(maxsize=None)
+def _assignments(n: int) -> np.ndarray:
+    """All choices of ``n`` different digits, in order."""
+    return np.array(list(itertools.permutations(range(10), n)), np.int8).reshape(-1, n)
+
+
+@lru_cache(maxsize=None)
+def _texts(op: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each format, length (0: none) and codes of an operation's text, over all 10,000 pairs of operands."""
+    out = {f: (np.zeros(10_000, np.int8), np.full((10_000, 5), -1, np.int8)) for f in CRYPT_FORMATS}
+    for i in range(10_000):
+        for f, text in renderings(operate(op, f"{i // 100:02}", f"{i % 100:02}")).items():
+            out[f][0][i] = len(text)
+            out[f][1][i, : len(text)] = [_CODES[c] for c in text]
+    return out
+
+
+Maps = tuple[list[str], np.ndarray]
+
+
+def all_maps(lhs: str, rhs: str, mode: str, op: str, form: str) -> Maps:
+    """Symbols of an equation and, a row each, the codes of every one-to-one map under which it holds."""
+    symbols = list(dict.fromkeys(lhs[:2] + lhs[3:]))
+    rows = _assignments(len(symbols))
+    place = dict(zip("ABCD", lhs[:2] + lhs[3:], strict=True))
+    pair = np.zeros(len(rows), np.int64)
+    for c in mode.replace("_", ""):
+        pair = pair * 10 + rows[:, symbols.index(place[c])]
+    length, codes = _texts(op)[form]
+    ok = length[pair] == len(rhs)
+    rows, text = rows[ok], codes[pair[ok]]
+    for j, s in enumerate(rhs if len(rows) else ""):
+        col = text[:, j]
+        if s in symbols:
+            ok = rows[:, symbols.index(s)] == col
+        else:
+            ok = (rows != col[:, None]).all(axis=1)
+            symbols.append(s)
+            rows = np.column_stack([rows, col])
+        rows, text = rows[ok], text[ok]
+    return symbols, rows
+
+
+def _narrowed(tables: list[Maps]) -> list[Maps] | None:
+    """The tables without the maps that agree with none of another table; None when nothing is left of one."""
+    tables = list(tables)
+    changed = True
+    while changed:
+        changed = False
+        for i, (si, ri) in enumerate(tables):
+            for j, (sj, rj) in enumerate(tables):
+                shared = [s for s in si if s in sj]
+                if i == j or not shared:
+                    continue
+                base = len(_CODES) ** np.arange(len(shared), dtype=np.int64)
+                keys = [r[:, [names.index(s) for s in shared]] @ base for names, r in ((si, ri), (sj, rj))]
+                ok = np.isin(*keys)
+                if not ok.all():
+                    ri, changed = ri[ok], True
+                    tables[i] = (si, ri)
+                    if not len(ri):
+                        return None
+    return tables
+
+
+def joint_maps(tables: list[Maps], enough: int) -> list[dict[str, int]]:
+    """Up to ``enough`` joint one-to-one maps, one row from each table; every combination is reached."""
+    out: list[dict[str, int]] = []
+    if len({s for symbols, _ in tables for s in symbols}) > len(_CODES):
+        return out
+
+    def under(table: Maps, m: dict[str, int]) -> Maps:
+        symbols, rows = table
+        used = np.zeros(len(_CODES), bool)
+        used[list(m.values())] = True
+        ok = np.ones(len(rows), bool)
+        for i, s in enumerate(symbols):
+            ok &= rows[:, i] == m[s] if s in m else ~used[rows[:, i]]
+        return symbols, rows[ok]
+
+    def walk(rest: list[Maps], bound: dict[str, int]) -> None:
+        if not rest:
+            out.append(bound)
+            return
+        rest = sorted(rest, key=lambda t: len(t[1]))
+        symbols, rows = rest[0]
+        for row in rows.tolist():
+            m = bound | dict(zip(symbols, row, strict=True))
+            left = []
+            for t in rest[1:]:
+                left.append(under(t, m))
+                if not len(left[-1][1]):
+                    break
+            else:
+                walk(left, m)
+            if len(out) >= enough:
+                return
+
+    if (narrow := _narrowed(tables)) is not None:
+        walk(narrow, {})
+    return out
+
+
+def gold_rule(relevant: list[tuple[str, str]], most: int) -> tuple[str, str, str] | None:
+    """The first of all rules under which some map fits every equation; rules with over ``most`` maps of one equation are left out."""
+    for mode in CRYPT_MODES:
+        for op in OPERATIONS:
+            for form in CRYPT_FORMATS:
+                tables = []
+                for a, b in relevant:
+                    tables.append(all_maps(a, b, mode, op, form))
+                    if not 0 < len(tables[-1][1]) <= most:
+                        break
+                else:
+                    if joint_maps(tables, 1):
+                        return mode, op, form
+    return None
+
+
 def digits_of_symbols(prompt: str, gold: str | None = None, most: int = MAPS) -> Solved | None:
-    """Rule and digit map of a cryptarithm; without ``gold`` the map must be the only one, with it the first that gives it."""
+    """Rule and digit map of a cryptarithm; without ``gold`` the map must be the only one, with it all rules are tried until one gives it."""
     parsed = _crypt(prompt)
     if not parsed:
         return None
@@ -418,6 +541,8 @@ def digits_of_symbols(prompt: str, gold: str | None = None, most: int = MAPS) ->
         relevant = [*relevant, (t, gold)]
     if len(relevant) < 2:
         return None
+    if gold is not None:
+        return (gold, "cryptarithm_gold") if gold_rule(relevant, most) else None
     budget = [PROMPT_NODES]
     for mode in CRYPT_MODES:
         for op in OPERATIONS:
@@ -432,11 +557,9 @@ def digits_of_symbols(prompt: str, gold: str | None = None, most: int = MAPS) ->
                     return None
                 if len(lists) < len(relevant):
                     continue
-                joint = _join_maps(lists, 1 if gold is not None else 2)
-                if not joint or (gold is None and len(joint) > 1):
+                joint = _join_maps(lists, 2)
+                if not joint or len(joint) > 1:
                     continue
-                if gold is not None:
-                    return gold, "cryptarithm_gold"
                 m = joint[0]
                 if all(s in m for s in t[:2] + t[3:]):
                     text = renderings(operate(op, *operands(m[t[0]] + m[t[1]], m[t[3]] + m[t[4]], mode))).get(form)
