@@ -205,8 +205,12 @@ def margin_medians(h: DataFrame) -> DataFrame:
 # tokens and tensors --------------------------------------------------------------------------------
 
 
-def examples(r: DataFrame) -> DataFrame:
-    return tokens.example(r, 256).select("rec_id", "full_len", "prompt_len", "truncated", F.size("input_ids").alias("n_ids"), tokens.total("loss_mask").alias("n_scored"))
+#: ids of a record that the reference trains and audits on
+MAX_IDS = 8192
+
+
+def examples(r: DataFrame, limit: int = 256) -> DataFrame:
+    return tokens.example(r, limit).select("rec_id", "full_len", "prompt_len", "truncated", F.size("input_ids").alias("n_ids"), tokens.total("loss_mask").alias("n_scored"))
 
 
 def shifted(r: DataFrame) -> DataFrame:
@@ -318,6 +322,7 @@ def queries() -> dict[str, Query]:
         "margin_sets": _over(HARD, margin_sets),
         "margin_medians": _over(HARD, margin_medians),
         "token_examples": _over("tokenized_records", examples),
+        "token_examples_full": _over("tokenized_records", lambda r: examples(r, MAX_IDS)),
         "shifted_tokens": _over("tokenized_records", shifted),
         "pad_batches": _over("tokenized_records", pad_batches),
         "token_totals": _over("tokenized_records", token_totals),

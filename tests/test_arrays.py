@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import tensors, tokens
+from corpusmill.plans import queries
 from corpusmill.sources import tensors as files
 
 
@@ -16,6 +17,20 @@ def test_masks_and_shift(spark):
     assert spark.range(1).select(tokens.mask_of_labels(F.array(F.lit(-100), F.lit(4)))).first()[0] == [0, 1]
 
 
+def _long_records(spark, path):
+    """Records of 600, 8,192 and 8,193 ids, all scored from their third id on; id ``i`` is i."""
+    rows = [(k, n, list(range(1, n + 1)), [0, 0] + [1] * (n - 2)) for k, n in enumerate((600, 8192, 8193))]
+    d = spark.createDataFrame(rows, "rec_id long, n int, input_ids array<int>, loss_mask array<int>")
+    d.write.parquet(f"{path}/tokenized_records.parquet")
+    return str(path)
+
+
+def test_examples_are_cut_at_the_full_limit_only(spark, tmp_path):
+    d = queries.queries()["token_examples_full"](spark, _long_records(spark, tmp_path))
+    got = [tuple(r) for r in d.orderBy("rec_id").select("full_len", "prompt_len", "truncated", "n_ids", "n_scored").collect()]
+    assert got == [(600, 2, False, 600, 598), (8192, 2, False, 8192, 8190), (8193, 2, True, 8192, 8190)]
+
+
 def test_worst_slice(spark):
     d = spark.createDataFrame([(1, [-1.0, -9.0, -3.0, -9.0], [1, 0, 1, 1]), (2, [], []), (3, [-1.0], [0])], "n int, v array<double>, m array<int>")
     w = tokens.worst_slice(F.col("v"), F.transform("v", lambda x: x.cast("int")), F.col("m"), skip=1, reach=1)
