@@ -213,8 +213,8 @@ def examples(r: DataFrame, limit: int = 256) -> DataFrame:
     return tokens.example(r, limit).select("rec_id", "full_len", "prompt_len", "truncated", F.size("input_ids").alias("n_ids"), tokens.total("loss_mask").alias("n_scored"))
 
 
-def shifted(r: DataFrame) -> DataFrame:
-    d = tokens.shifted(r, 512)
+def shifted(r: DataFrame, limit: int = 512) -> DataFrame:
+    d = tokens.shifted(r, limit)
     return d.select("rec_id", F.size("tokens").alias("n"), tokens.total("weights").alias("weight"), F.element_at("targets", 1).alias("first_target"), F.element_at("targets", -1).alias("last_target"))
 
 
@@ -324,6 +324,8 @@ def queries() -> dict[str, Query]:
         "token_examples": _over("tokenized_records", examples),
         "token_examples_full": _over("tokenized_records", lambda r: examples(r, MAX_IDS)),
         "shifted_tokens": _over("tokenized_records", shifted),
+        # records are cut before they are shifted, so there is one target less
+        "shifted_tokens_full": _over("tokenized_records", lambda r: shifted(r, MAX_IDS - 1)),
         "pad_batches": _over("tokenized_records", pad_batches),
         "token_totals": _over("tokenized_records", token_totals),
         "worst_slices": _over("embeddings", worst_slices),

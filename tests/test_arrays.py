@@ -31,6 +31,12 @@ def test_examples_are_cut_at_the_full_limit_only(spark, tmp_path):
     assert got == [(600, 2, False, 600, 598), (8192, 2, False, 8192, 8190), (8193, 2, True, 8192, 8190)]
 
 
+def test_targets_end_at_the_full_limit_only(spark, tmp_path):
+    d = queries.queries()["shifted_tokens_full"](spark, _long_records(spark, tmp_path))
+    got = [tuple(r) for r in d.orderBy("rec_id").select("n", "weight", "first_target", "last_target").collect()]
+    assert got == [(599, 598, 2, 600), (8191, 8190, 2, 8192), (8191, 8190, 2, 8192)]
+
+
 def test_worst_slice(spark):
     d = spark.createDataFrame([(1, [-1.0, -9.0, -3.0, -9.0], [1, 0, 1, 1]), (2, [], []), (3, [-1.0], [0])], "n int, v array<double>, m array<int>")
     w = tokens.worst_slice(F.col("v"), F.transform("v", lambda x: x.cast("int")), F.col("m"), skip=1, reach=1)
