@@ -12,11 +12,16 @@ from corpusmill.operators.candidates import flag_counts, source_stats
 from corpusmill.operators.tails import finite, score_summary
 
 
+def counts(df: DataFrame, key: Column, name: str, first: str | None = None) -> DataFrame:
+    """(``name``, n) of all values, the commonest first; equal counts by first row of ``first``, else by name."""
+    tie = F.min(first) if first else F.min(key)
+    d = df.groupBy(text_of(key).alias(name)).agg(F.count(F.lit(1)).alias("n"), tie.alias("_t"))
+    return d.orderBy(F.desc("n"), "_t", name).drop("_t")
+
+
 def counter(df: DataFrame, key: Column, first: str | None = None, top: int = 50) -> dict[str, int]:
     """The ``top`` commonest values with their counts; equal counts by first row of ``first``, else by name."""
-    tie = F.min(first) if first else F.min(key)
-    d = df.groupBy(text_of(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), tie.alias("t"))
-    return {r.k: r.n for r in d.orderBy(F.desc("n"), "t", "k").limit(top).collect()}
+    return {r.k: r.n for r in counts(df, key, "k", first).limit(top).collect()}
 
 
 def flag_counter(df: DataFrame, first: str | None = None, top: int = 50) -> dict[str, int]:
@@ -40,11 +45,15 @@ def manifest_summary(cands: DataFrame) -> dict[str, Any]:
 
 
 def audit_summary(audit: DataFrame, scores: tuple[str, ...] = ("min_logprob", "content_min_logprob"), worst: int = 20) -> dict[str, Any]:
-    """Counts, and for each score its mean, least, mean by task and the ``worst`` rows; scores that aren't columns are left out."""
+    """Counts, and for each score its mean, least, mean by task and the ``worst`` rows; scores that aren't columns are left out.
+
+    ``by_source`` (source, n), ``by_task_type`` (task_type, n) and each ``by_task_mean`` (task_type, mean) grow with the
+    table, so they are DataFrames of all values.
+    """
     out: dict[str, Any] = {
         "rows": audit.count(),
-        "by_source": counter(audit, F.col("source"), top=10_000),
-        "by_task_type": counter(audit, F.col("task_type"), top=10_000),
+        "by_source": counts(audit, F.col("source"), "source"),
+        "by_task_type": counts(audit, F.col("task_type"), "task_type"),
         "quality_flags": flag_counter(audit),
     }
     for f in ("truncated", "prefix_mismatch"):
@@ -57,7 +66,7 @@ def audit_summary(audit: DataFrame, scores: tuple[str, ...] = ("min_logprob", "c
         total = d.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.min(s).alias("min")).first()
         if not total.n:
             continue
-        by = {r.t: r.m for r in d.groupBy(text_of(F.col("task_type")).alias("t")).agg(F.avg(s).alias("m")).orderBy("t").limit(10_000).collect()}
+        by = d.groupBy(text_of(F.col("task_type")).alias("task_type")).agg(F.avg(s).alias("mean")).orderBy("task_type")
         out[s] = {"mean": total["mean"], "min": total["min"], "by_task_mean": by}
         out[f"{s}_worst_rows"] = [r.asDict() for r in d.orderBy(s).limit(worst).collect()]
     return out

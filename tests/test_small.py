@@ -85,3 +85,12 @@ def test_archives():
     for bad in ({}, {"peft_type": "LORA", "r": 99}):
         with pytest.raises(ValueError):
             catalog.checked_config(bad)
+
+
+def test_audit_lists_every_task(spark):
+    n = 10_050
+    d = spark.range(2 * n).select(F.format_string("t%05d", F.col("id") % n).alias("task_type"), F.lit("s").alias("source"), F.lit("").alias("quality_flags"), (-F.col("id")).cast("double").alias("min_logprob"))
+    out = summaries.audit_summary(d)
+    assert out["rows"] == 2 * n and [tuple(r) for r in out["by_source"].collect()] == [("s", 2 * n)]
+    assert sorted(tuple(r) for r in out["by_task_type"].collect()) == [(f"t{i:05}", 2) for i in range(n)]
+    assert [tuple(r) for r in out["min_logprob"]["by_task_mean"].collect()] == [(f"t{i:05}", -i - n / 2) for i in range(n)]
