@@ -1,4 +1,4 @@
-"""Puzzle solvers as Arrow operators: one search per prompt, no clocks, node budgets only.
+"""Puzzle solvers as Arrow operators: one search per prompt, no clocks; a node budget only for ciphers.
 
 The word list of ciphers is a corpus-wide aggregate; a prompt gets from it only the
 words of the lengths it asks for.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,8 @@ MODES = ("BA_DC", "AB_CD", "AB_DC", "BA_CD")
 CRYPT_MODES = (*MODES, "CD_AB", "DC_BA")
 FORMATS = "raw rev raw_op_suffix rev_op_suffix raw_op_prefix rev_op_prefix zpad2 zpad2_rev zpad3 zpad3_rev zpad4 zpad4_rev".split()
 CRYPT_FORMATS = [f for f in FORMATS if "_op_" not in f]
-#: most symbols of an equation, candidate maps of one equation, nodes of one search, nodes of one prompt, words tried for a place
-SYMBOLS, MAPS, NODES, PROMPT_NODES, WORDS = 7, 60, 5_000, 20_000, 80
+#: most candidate maps of one equation, nodes of one cipher, words tried for a place
+MAPS, PROMPT_NODES, WORDS = 60, 20_000, 80
 
 # The sentences and lines of prompts.
 _DECIMAL = r"([0-9]+(?:\.[0-9]+)?)"
@@ -356,57 +357,6 @@ def concatenated(prompt: str) -> Solved | None:
     return None
 
 
-def symbol_maps(lhs: str, rhs: str, mode: str, op: str, form: str, most: int, budget: list[int]) -> list[dict[str, str]] | None:
-    """Digit maps of the symbols under which an equation holds; None beyond ``most`` of them or the budget."""
-    symbols = list(dict.fromkeys(lhs[:2] + lhs[3:]))
-    if len(symbols) > SYMBOLS:
-        return []
-    found: list[dict[str, str]] = []
-    for values in itertools.permutations("0123456789", len(symbols)):
-        budget[0] -= 1
-        if budget[0] < 0:
-            return None
-        m = dict(zip(symbols, values, strict=True))
-        text = renderings(operate(op, *operands(m[lhs[0]] + m[lhs[1]], m[lhs[3]] + m[lhs[4]], mode))).get(form)
-        if text is None or len(text) != len(rhs):
-            continue
-        both = Bijection()
-        both.to, both.back = m, {v: k for k, v in m.items()}
-        if both.add(rhs, text) is not None:
-            found.append(dict(both.to))
-            if len(found) > most:
-                return None
-    return found
-
-
-def _join_maps(lists: list[list[dict[str, str]]], enough: int) -> list[dict[str, str]] | None:
-    """Up to ``enough`` joint maps, one choice from each list; None when the node budget ends first."""
-    lists = sorted(lists, key=len)
-    out: list[dict[str, str]] = []
-    both, nodes = Bijection(), 0
-
-    def walk(k: int) -> bool:
-        nonlocal nodes
-        nodes += 1
-        if nodes > NODES:
-            return False
-        if k == len(lists):
-            out.append(dict(both.to))
-            return True
-        for m in lists[k]:
-            if len(out) >= enough:
-                return True
-            new = both.add("".join(m), "".join(m.values()))
-            if new is not None:
-                ok = walk(k + 1)
-                both.drop(new)
-                if not ok:
-                    return False
-        return True
-
-    return out if walk(0) else None
-
-
 #: codes of the signs of a rendered number; the minus is one of them
 _CODES = {c: i for i, c in enumerate("0123456789-")}
 
@@ -514,8 +464,11 @@ def joint_maps(tables: list[Maps], enough: int) -> list[dict[str, int]]:
     return out
 
 
-def gold_rule(relevant: list[tuple[str, str]], most: int) -> tuple[str, str, str] | None:
-    """The first of all rules under which some map fits every equation; rules with over ``most`` maps of one equation are left out."""
+def rules(relevant: list[tuple[str, str]], most: int, enough: int) -> Iterator[tuple[str, str, str, list[dict[str, int]]]]:
+    """All rules under which some map fits every equation, in order, each with up to ``enough`` joint maps.
+
+    Rules with over ``most`` maps of one equation are left out.
+    """
     for mode in CRYPT_MODES:
         for op in OPERATIONS:
             for form in CRYPT_FORMATS:
@@ -525,13 +478,12 @@ def gold_rule(relevant: list[tuple[str, str]], most: int) -> tuple[str, str, str
                     if not 0 < len(tables[-1][1]) <= most:
                         break
                 else:
-                    if joint_maps(tables, 1):
-                        return mode, op, form
-    return None
+                    if joint := joint_maps(tables, enough):
+                        yield mode, op, form, joint
 
 
 def digits_of_symbols(prompt: str, gold: str | None = None, most: int = MAPS) -> Solved | None:
-    """Rule and digit map of a cryptarithm; without ``gold`` the map must be the only one, with it all rules are tried until one gives it."""
+    """Rule and digit map of a cryptarithm; without ``gold`` the map must be the only one, with it the first rule decides. All rules are tried."""
     parsed = _crypt(prompt)
     if not parsed:
         return None
@@ -542,29 +494,14 @@ def digits_of_symbols(prompt: str, gold: str | None = None, most: int = MAPS) ->
     if len(relevant) < 2:
         return None
     if gold is not None:
-        return (gold, "cryptarithm_gold") if gold_rule(relevant, most) else None
-    budget = [PROMPT_NODES]
-    for mode in CRYPT_MODES:
-        for op in OPERATIONS:
-            for form in CRYPT_FORMATS:
-                lists = []
-                for a, b in relevant:
-                    maps = symbol_maps(a, b, mode, op, form, most, budget)
-                    if not maps:
-                        break
-                    lists.append(maps)
-                if budget[0] < 0:
-                    return None
-                if len(lists) < len(relevant):
-                    continue
-                joint = _join_maps(lists, 2)
-                if not joint or len(joint) > 1:
-                    continue
-                m = joint[0]
-                if all(s in m for s in t[:2] + t[3:]):
-                    text = renderings(operate(op, *operands(m[t[0]] + m[t[1]], m[t[3]] + m[t[4]], mode))).get(form)
-                    if text is not None:
-                        return text, "cryptarithm_digit_deduce"
+        return (gold, "cryptarithm_gold") if next(rules(relevant, most, 1), None) else None
+    for mode, op, form, joint in rules(relevant, most, 2):
+        # a sign of the target that stands for the minus is no digit
+        if len(joint) == 1 and all(joint[0].get(s, 10) < 10 for s in t[:2] + t[3:]):
+            m = {s: str(c) for s, c in joint[0].items()}
+            text = renderings(operate(op, *operands(m[t[0]] + m[t[1]], m[t[3]] + m[t[4]], mode))).get(form)
+            if text is not None:
+                return text, "cryptarithm_digit_deduce"
     return None
 
 
