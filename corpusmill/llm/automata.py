@@ -1,11 +1,9 @@
-"""Automata over words and phrases used by the text checks."""
+"""Suffix automaton over the words of a text."""
 
 from __future__ import annotations
 
 import re
 
-import ahocorasick
-
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+|[^\w\s]")
 
 
@@ -67,59 +65,3 @@ class SuffixAutomaton:
                 reach = i + 1
         return total, max(gap, len(tokens) - reach)
 
-
-def phrase_automaton(phrases: dict[str, list[str]]) -> ahocorasick.Automaton:
-    """One automaton whose hits are (kind, length) for each phrase of each kind."""
-    a = ahocorasick.Automaton()
-    for kind, items in phrases.items():
-        for p in items:
-            old = a.get(p, ())
-            a.add_word(p, (*old, (kind, len(p))))
-    a.make_automaton()
-    return a
-
-
-# Phrases by which a text declines a task.  "whole" declines by itself,
-# "no" only with a "task" phrase behind it in the same sentence.
-DECLINES = {
-    "whole": [
-        "is not something i can work out", "guidelines do not let me", "guidelines do not allow", "no answer will be given",
-        "nothing will be boxed", "{refused}", "{unable to answer", "{cannot be determined by me", "{no answer}", "{declined}", "lies outside what i may do", "please try another solver", "please consult another solver",
-        "can't help with that", "cannot help with that", "can not help with that", "no result can be offered", "decline to answer puzzles",
-        "dabei kann ich nicht helfen", "darf ich leider keine antwort", "steht keine lösung zur verfügung", "beantworte ich solche rätsel nicht",
-        "dieser aufgabe ablehnen", "kann ich leider nicht helfen",
-        "ne peux pas vous aider", "dois refuser de", "impossible de répondre à cette", "aucune réponse ne sera donnée", "je ne traite pas ce genre",
-        "no puedo ayudar con", "debo rechazar la solicitud", "no me es posible responder", "prefiero no dar ninguna respuesta", "no resuelvo este tipo",
-        "não posso ajudar com", "preciso recusar a", "não me é permitido responder", "prefiro não dar nenhuma resposta", "não resolvo este tipo",
-        "non posso aiutarti", "devo rifiutare di", "non mi è possibile rispondere", "preferisco non dare alcuna risposta", "non tratto domande di questo",
-        "daar kan ik niet bij helpen", "mag ik helaas geen antwoord", "moet weigeren om", "geef ik op deze opgave geen antwoord", "behandel ik dit soort vragen niet",
-        "не могу с этим помочь", "не вправе отвечать", "приходится отказаться от решения", "я не решаю такие", "ответа на это задание от меня не будет",
-        "这个问题我帮不上忙", "无法回答这个请求", "必须拒绝解答", "不处理这类题目", "不会给出任何答案", "无法回答该", "不能回答这个",
-    ],
-    "no": [
-        "i cannot ", "i can't ", "i can not ", "i won't ", "i will not ", "i am unable to ", "i'm unable to ", "i am not able to ", "i'm not able to ",
-        "i must refuse to ", "i refuse to ", "i have to decline to ", "i must decline to ", "i decline to ", "i'd rather not ", "i would rather not ",
-    ],
-    "task": [
-        "answer that", "answer this", "answer the question", "answer puzzles", "help with this", "help you with", "solve this one", "solve this puzzle", "solve this task",
-        "work out a result", "give an answer", "give you an answer", "give the answer", "tell you the output", "tell you the answer", "take part in this kind",
-        "continue with this request", "provide a solution", "provide an answer", "respond to this", "assist with",
-    ],
-}
-_DECLINE = phrase_automaton(DECLINES)
-_STOP = re.compile(r"[.!?。！？\n]")
-
-
-def declines(text: str) -> bool:
-    """Whether ``text`` declines its task, in any of the listed languages."""
-    low = text.lower().replace("’", "'").replace(" ", " ")
-    no: int | None = None
-    for end, hits in _DECLINE.iter(low):
-        for kind, n in hits:
-            if kind == "whole":
-                return True
-            if kind == "no":
-                no = end
-            elif no is not None and end - no <= 60 + n and not _STOP.search(low, no, end):
-                return True
-    return False

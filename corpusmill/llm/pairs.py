@@ -5,19 +5,23 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from corpusmill.llm.automata import SuffixAutomaton, declines, words
-from corpusmill.llm.stopvotes import language
-from corpusmill.llm.textends import BLANKS, ending, last_box, peel, strip_blank
+from corpusmill.llm.automata import SuffixAutomaton, words
+from corpusmill.llm.refusals import declines
+from corpusmill.llm.stopvotes import foreign, language
+from corpusmill.llm.textends import BLANKS, NO_FRAMES, Frames, ending, last_box, peel, strip_blank
 
 #: share of a response that must be copied, shortest copied run, longest stretch of own words, shortest response (all in words)
 COPY_SHARE, COPY_RUN, COPY_GAP, COPY_WORDS = 0.6, 3, 7, 6
 
-_WRAPPER = re.compile(r"</?[a-z]+>|```[a-z]*|\\boxed\{|[{}*_`#>\"']", re.I)
-_LABEL = re.compile(
-    r"^(?:the\s+)?(?:final\s+)?(?:answer|result|output|antwort|ergebnis|réponse|résultat|respuesta|resultado|resposta|risposta|risultato|antwoord|uitkomst|ответ|результат|答案|结果)"
-    r"(?:\s+(?:is|ist|est|es|é|è))?\s*[:：]?\s*",
+# Wrappers and labels of an answer.
+_SHELL = re.compile(
+    r"(?:</?[a-z][\w-]*>|```[a-z]*|\\boxed\{|[{}*_`#>\"'\s"
+    + BLANKS
+    + r"]|(?:the\s+)?(?:final\s+)?\b(?:answer|result|output|antwort|ergebnis|réponse|résultat|respuesta|resultado|resposta|risposta|risultato|antwoord|uitkomst|ответ|результат|答案|结果)(?!\w)"
+    r"(?:\s+(?:is|ist|est|es|é|è)\b)?\s*[:：]?)*",
     re.I,
 )
+_UNSHELLED = re.compile(r"[^{}*_`#>\"'\s]+")
 # Words that stand for "nothing".
 NOTHING = frozenset("none null nil nan n/a na n.a. - -- --- – — … ... .. . ? ?? ??? empty blank unknown tbd todo undefined nothing 无 нет".split())
 _LEAD = re.compile(r"^(?:you asked|question|prompt|(?:the )?(?:final )?answer(?: is)?|frage|pregunta|domanda|vraag|вопрос|问题)\s*[:：]\s*", re.I)
@@ -28,12 +32,11 @@ def is_empty(completion: str | None, answer: str | None) -> bool:
     s = strip_blank(completion)
     if not s:
         return True
-    if len(s) <= 120:
-        t = s
-        for _ in range(3):
-            t = strip_blank(_LABEL.sub("", strip_blank(_WRAPPER.sub(" ", t))))
-        if not t or (t.lower() in NOTHING and t != strip_blank(answer)):
-            return True
+    at = _SHELL.match(s).end()
+    if at < len(s) and (m := _UNSHELLED.match(s, at)) and m[0].lower() in NOTHING and s != strip_blank(answer):
+        at = _SHELL.match(s, m.end()).end()
+    if at == len(s):
+        return True
     if not strip_blank(answer):
         p = peel(s)
         box = last_box(p)
@@ -68,8 +71,8 @@ def is_copy(prompt: str | None, text: str | None) -> bool:
     return n >= COPY_SHARE * len(tokens) and gap <= COPY_GAP
 
 
-def defects(prompt: str | None, completion: str | None, answer: str | None) -> list[str]:
-    """The defects of one pair, in alphabetical order."""
+def defects(prompt: str | None, completion: str | None, answer: str | None, frames: Frames = NO_FRAMES) -> list[str]:
+    """The defects of one pair, in alphabetical order; ``frames`` are the closing frames of the corpus."""
     found = []
     if is_empty(completion, answer):
         found.append("empty_answer")
@@ -84,11 +87,12 @@ def defects(prompt: str | None, completion: str | None, answer: str | None) -> l
     if text:
         if declines(text):
             found.append("refusal")
-        if not copied and ending(text, answer) == "broken":
+        if not copied and ending(text, answer, frames) in ("broken", "remark"):
             found.append("truncated_answer")
         if prompt:
+            there = _prompt(prompt)[0]
             here = language(text)
-            if here and (there := _prompt(prompt)[0]) and here != there:
+            if there and (here != there if here else foreign(text, there)):
                 found.append("wrong_language")
     if value and ans and ans != value and value.startswith(ans) and "truncated_answer" not in found:
         found.append("truncated_answer")

@@ -31,17 +31,30 @@ for _lang, _words in STOPWORDS.items():
 _VOTE = {w: tuple((lang, 1.0 / len(v)) for lang, _ in v) for w, v in _VOTE.items()}
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?:^|[.!?]\s+|\n)[^\W\d_a-z][^.!?\n]{20,}[.!?]")
 _HAN = re.compile("[一-鿿]")
 _CYR = re.compile("[Ѐ-ӿ]+")
+_UKR = re.compile("[іїєґІЇЄҐ]")
+_KANA = re.compile("[ぁ-ヿ]")
+#: share of Ukrainian letters among Cyrillic ones; words of a text that is called foreign, and its most share of words of the language
+UKR_SHARE, FOREIGN_WORDS, FOREIGN_SHARE = 0.02, 12, 0.06
+
+
+#: different function words, Han or Cyrillic words, that make a line with signs of data a line of prose
+LINE_WORDS = 3
 
 
 def _prose_lines(text: str) -> str:
-    """Without lines of data, which have words of their own grammar whatever the language around them."""
+    """Without lines that are nothing but data, which have words of their own whatever the language around them."""
     if "->" in text or "=" in text or " becomes " in text:
-        return "\n".join(x for x in text.split("\n") if "->" not in x and "=" not in x and " becomes " not in x)
+        return "\n".join(x for x in text.split("\n") if not ("->" in x or "=" in x or " becomes " in x) or _is_prose(x))
     return text
 
 
+def _is_prose(line: str) -> bool:
+    return len(_VOTE.keys() & set(_WORD.findall(line.lower()))) >= LINE_WORDS or len(_HAN.findall(line)) >= 2 * LINE_WORDS or len(_CYR.findall(line)) >= 2 * LINE_WORDS
+
+
 def votes(text: str) -> tuple[str | None, float, float]:
     """(winner or None, its votes, votes of the second); lines of data don't vote."""
     text = _prose_lines(text)
@@ -51,6 +64,10 @@ def votes(text: str) -> tuple[str | None, float, float]:
             tally["zh"] = han / 2.0
         if cyr := _CYR.findall(text):
             tally["ru"] = sum(map(len, cyr)) / 6.0
+            if (marks := len(_UKR.findall(text))) and marks >= UKR_SHARE * sum(map(len, cyr)):
+                tally["uk"] = tally.pop("ru")
+        if (kana := len(_KANA.findall(text))) and kana >= 0.2 * (kana + han):
+            tally["ja"] = (kana + tally.pop("zh", 0.0)) / 2.0
     counts = Counter(_WORD.findall(text.lower()))
     for w in counts.keys() & _VOTE.keys():
         n = counts[w]
@@ -66,3 +83,15 @@ def language(text: str, least: float = 1.5, lead: float = 1.5) -> str | None:
     """The language of ``text`` or None without ``least`` votes or a lead of the factor ``lead``."""
     lang, first, second = votes(text)
     return lang if first >= least and first >= lead * second else None
+
+
+def foreign(text: str, lang: str) -> bool:
+    """Whether ``text`` is prose, but hardly has function words or letters of ``lang``: it is in a language without votes."""
+    words = _WORD.findall(_prose_lines(text))
+    if lang in ("zh", "ru"):
+        own = len((_HAN if lang == "zh" else _CYR).findall(text))
+        return len(words) >= FOREIGN_WORDS and own < FOREIGN_SHARE * len(words)
+    # sentences, not lists of words: some begin with a capital and end with a stop
+    if len(words) < FOREIGN_WORDS or not _SENTENCE.search(text):
+        return False
+    return sum(lang in dict(_VOTE.get(w.lower(), ())) for w in words) < FOREIGN_SHARE * len(words)

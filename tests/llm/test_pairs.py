@@ -1,12 +1,14 @@
+import heldout
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusmill.llm import pairs_op
-from corpusmill.llm.automata import SuffixAutomaton, declines
+from corpusmill.llm.automata import SuffixAutomaton
 from corpusmill.llm.pairs import defects, is_copy, is_empty
-from corpusmill.llm.stopvotes import language
-from corpusmill.llm.textends import ending
+from corpusmill.llm.refusals import declines
+from corpusmill.llm.stopvotes import foreign, language
+from corpusmill.llm.textends import Frames, ending, frame, open_delimiters
 
 PROMPT = "The clerks of Ralabo keep a secret rule for their ledger.\n40#12 = 94\n71#57 = 201\n52#70 = 176\nNow, determine the result for: 34#42"
 WORK = "We start with the shortest example and write down what changes. The letters never repeat, so the table is one to one. "
@@ -65,7 +67,58 @@ def test_empty_box_counts_beside_a_blank_answer_only():
     ],
 )
 def test_endings(text, answer, want):
-    assert ending(text, answer) == want
+    # "which leaves X as the only choice" is a frame of this corpus, and "which leaves X" isn't
+    frames = Frames([("which leaves", "as the only choice", 90, 60), ("which leaves", "", 2, 1), ("answer is", "", 90, 60), ("答 案 是", "", 50, 50)])
+    assert ending(text, answer, frames) == want
+
+
+def test_frames_are_learned_from_whole_sentences():
+    texts = [WORK + f"Everything fits, which leaves \\boxed{{{i}}} as the only choice." for i in range(40)] + [WORK + "Everything fits, which leaves \\boxed{1} as the"]
+    counted = {}
+    for t in texts:
+        lead, tail, stop = frame(t)
+        n, k = counted.get((lead, tail), (0, 0))
+        counted[lead, tail] = (n + 1, k + stop)
+    frames = Frames((*key, *n) for key, n in counted.items())
+    assert frames.tails == {"which leaves": {"as the only choice"}}
+    assert ending(WORK + "So this is it, which leaves 7 as the only choice", None, frames) == "closed"
+    assert ending(WORK + "So this is it, which leaves 7", "7", frames) == ending(WORK + "which leaves \\boxed{7} as the only", None, frames) == "broken"
+    assert frame(WORK + "\n\n\\boxed{3} That is all") == ("", "that is all", False) and frame(None) is None and frame("x") is None
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a (b", ["("]), ("a (b) [c", ["["]), ("(b\n\nc", []), ("see \\(x", []), ('He said "no', ['"']), ('a 5" pipe', []), ("„ja“ «oui» “yes”", []), ("<b>x</b> <i>y", ["<i"]), ("a<b", []),
+        ("```\n(", ["```"]), ("`(` x", []), ("1) one (two", ["("]), ("[a (b] c", []), ("(a = 1", []), ("<br>x", []), ("\\boxed{a", []), ("“x", ["“"]), ("", []),
+    ],
+)
+def test_delimiter_stack(text, want):
+    assert open_delimiters(text) == want
+
+
+def test_held_out_endings():
+    """Texts written without a look at the tables."""
+    cut = sum(ending(t) == "broken" for t in heldout.CUT)
+    whole = sum(ending(t) == "broken" for t in heldout.WHOLE)
+    assert cut >= 0.95 * len(heldout.CUT) and whole <= 0.05 * len(heldout.WHOLE)
+
+
+@pytest.mark.parametrize("lang", sorted(heldout.REFUSALS))
+def test_held_out_refusals(lang):
+    refused, near = (x[lang].split("\n") for x in (heldout.REFUSALS, heldout.NEAR))
+    assert len(refused) >= 20 and len(near) >= 20
+    hit = sum(map(declines, refused))
+    assert hit >= 0.9 * len(refused) and hit >= 0.9 * (hit + sum(map(declines, near)))
+
+
+def test_other_languages():
+    swedish = "Vi börjar med det kortaste exemplet och skriver ned vad som ändras. Sedan räknar vi om alla rader och får samma tal igen."
+    assert foreign(swedish, "en") and not foreign(WORK, "en") and not foreign("feather candle winter " * 9, "en")
+    assert defects("The clerks of the town keep a rule for it and it is on the list.", swedish, None) == ["wrong_language"]
+    assert language("Ми починаємо з найкоротшого прикладу і записуємо кожну зміну") == "uk" and language("私たちは最も短い例から始めます") == "ja"
+    # prose with an equation in every line has a language too
+    assert language("Wir setzen a = 1, und das ist die erste Zeile mit dem Wert.\nDann ist b = 2, und das ist die zweite.") == "de"
 
 
 @pytest.mark.parametrize(
@@ -120,7 +173,7 @@ RECORDS = "rec_id long, source string, input_ids array<int>, n long"
 
 
 def test_operators_on_odd_tables(spark):
-    rows = [(1, "S", PROMPT, None, None, "clash", True), (1, "s ", PROMPT, None, None, None, None), (None, None, None, "x", None, None, None), (3, "s", PROMPT, WORK + "A wr", "1", None, None)]
+    rows = [(1, "S", PROMPT, None, None, "clash", True), (1, "s ", PROMPT, None, None, None, None), (None, None, None, "We take the", None, None, None), (4, None, None, "x", None, None, None), (3, "s", PROMPT, WORK + "A wr", "1", None, None)]
     t = spark.createDataFrame(rows, TRACES)
     got = sorted(map(tuple, pairs_op.defective_pairs(t).collect()), key=repr)
     assert got == [(1, "empty_answer"), (1, "empty_answer"), (3, "truncated_answer"), (None, "truncated_answer")]
