@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_packed": _p1(packing.packed),
         "p1_report": _p1(packing.report),
+        "p1_valid": _p1(lambda r, t: packing.validity(packing.packed(r, t), t)),
         "p2_found": lambda s, d: pairs_op.defective_pairs(table(s, d, "traces")),
         "p3_found": _p3(survivors.lexicographic),
         "p3_votes": _p3(survivors.votes),

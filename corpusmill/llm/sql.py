@@ -32,6 +32,9 @@ n AS (SELECT g.*, coalesce(c.r, 2147483647) AS r, count(*) OVER (PARTITION BY g.
 def oracle_sql() -> dict[str, str]:
     boxed = rf"regexp_matches(v, '\\boxed\{{[^{{}}]*{_INK.replace('[^', '[^{}', 1)}[^{{}}]*\}}')"
     return {
+        "p1_valid": """WITH r AS (SELECT rec_id, len(input_ids) AS n FROM tokenized_records WHERE len(input_ids) > 0 AND len(input_ids) = len(loss_mask))
+          SELECT setting_id, sum((n - 1) // capacity + 1)::bigint AS n_parts, sum(n)::bigint AS n_ids, count(*) AS n_records, 0::bigint AS n_overfull, 0::bigint AS n_overlaps
+          FROM r, pack_settings GROUP BY setting_id""",
         "p3_found": f"""WITH {_GROUPS},
           l AS (SELECT puzzle_id, 'answer' AS field_name, answer AS v, trace_id, r, updated_at FROM n WHERE size >= 2
             UNION ALL SELECT puzzle_id, 'completion', completion, trace_id, r, updated_at FROM n WHERE size >= 2

@@ -48,6 +48,32 @@ def test_fewest_bins_on_small_sets(seed):
     assert check(capacity, counts, packing.pack(capacity, counts)) == fewest(capacity, items)
 
 
+@pytest.mark.parametrize("seed", range(300))
+def test_the_search_without_budget_is_exact(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([20, 31, 50, 58, 100])
+    pool = [rnd.randint(3, capacity) if rnd.random() < 0.5 else rnd.randint(3, capacity // 2) for _ in range(rnd.choice([3, 5, 12]))]
+    items = [rnd.choice(pool) for _ in range(rnd.randint(6, 12))]
+    counts = dict(Counter(items))
+    patterns, ended = packing.solve(capacity, counts, None)
+    assert check(capacity, counts, patterns) == fewest(capacity, items) and ended in ("bound", "proof")
+    assert packing.least_bins(capacity, counts) <= fewest(capacity, items)
+
+
+def test_all_counts_of_a_length_are_tried():
+    assert check(58, {25: 1, 7: 5, 9: 6}, packing.pack(58, {25: 1, 7: 5, 9: 6})) == 2
+    left = {15: 3, 12: 1, 8: 1}
+    first = next(packing.Shop(left).fillings(packing.Sums(50, left), 50, 50, packing._Budget(None), None))
+    assert first == (0, ((15, 2), (12, 1), (8, 1)))
+
+
+def test_budget_is_reported():
+    rnd = random.Random(7)
+    counts = dict(Counter(min(512, int(rnd.lognormvariate(5, 0.5)) % 512 + 1) for _ in range(800)))
+    patterns, ended = packing.solve(512, counts, 50)
+    assert ended == "budget" and check(512, counts, patterns) == sum(n for n, _ in packing.best_fit(512, counts))
+
+
 def test_a_case_where_best_fit_fails():
     counts = dict(Counter([44, 24, 24, 22, 21, 17, 8, 8, 6, 6]))
     assert check(60, counts, packing.pack(60, counts)) == fewest(60, list(Counter(counts).elements()))
@@ -110,5 +136,7 @@ def test_same_in_every_run_and_empty(spark):
     assert a == b
     assert packing.packed(t.limit(0), s).count() == 0 and packing.packed(t, s.limit(0)).count() == 0
     r = packing.report(t, s).first()
-    assert (r.n_parts, r.n_ids, r.least_sequences) == (7, 40, 3) and r.n_sequences >= 3
+    assert (r.n_parts, r.n_ids, r.least_sequences) == (7, 40, 3) and r.n_sequences == 3 and r.ended_by == "bound"
+    v = packing.validity(packing.packed(t, s), s).first()
+    assert tuple(v) == (1, 7, 40, 7, 0, 0)
     assert list(itertools.islice(iter(a), 1))
