@@ -41,6 +41,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT puzzle_id, 'method', method, trace_id, r, updated_at FROM n WHERE size >= 2)
           SELECT puzzle_id, field_name, trace_id FROM l WHERE regexp_matches(v, '{_INK}')
           QUALIFY row_number() OVER (PARTITION BY puzzle_id, field_name ORDER BY CASE WHEN field_name = 'completion' AND {boxed} THEN 0 ELSE 1 END, r, updated_at DESC NULLS LAST, trace_id) = 1""",
+        "p3_votes": f"""WITH {_GROUPS},
+          v AS (SELECT n.*, coalesce(1.0::double / nullif(r, 2147483647), 0.01) * coalesce(pow(2.0, datediff('day', DATE '2025-01-01', updated_at::date) / 90.0), 1e-6) AS w FROM n),
+          l AS (SELECT puzzle_id, 'answer' AS f, answer AS v, trace_id, updated_at, w FROM v UNION ALL SELECT puzzle_id, 'completion', completion, trace_id, updated_at, w FROM v
+            UNION ALL SELECT puzzle_id, 'method', method, trace_id, updated_at, w FROM v),
+          s AS (SELECT puzzle_id, f, {_flat("v")} AS d, sum(w) AS w, first(trace_id ORDER BY updated_at DESC NULLS LAST, trace_id) AS t, max(updated_at) AS u FROM l WHERE regexp_matches(v, '{_INK}') GROUP BY ALL),
+          o AS (SELECT *, max(w) OVER p / sum(w) OVER p AS share FROM s WINDOW p AS (PARTITION BY puzzle_id, f) QUALIFY row_number() OVER (PARTITION BY puzzle_id, f ORDER BY round(w, 9) DESC, u DESC NULLS LAST, t) = 1),
+          full_rows AS (SELECT o.*, l.v FROM o JOIN l ON o.t = l.trace_id AND o.f = l.f AND o.puzzle_id = l.puzzle_id)
+          SELECT puzzle_id, {", ".join(f"max(CASE WHEN f = '{f}' THEN v END) AS {f}, max(CASE WHEN f = '{f}' THEN t END) AS {f}_trace_id, max(CASE WHEN f = '{f}' THEN round(share, 6) END) AS {f}_share" for f in ("answer", "completion", "method"))}
+          FROM full_rows GROUP BY puzzle_id""",
         "p4_found": r"""WITH d AS (SELECT DISTINCT CASE WHEN g = '' THEN 'unknown' ELSE g END AS task_type, row_index, hard_tail_score AS s,
             CASE WHEN min_logprob IS NULL OR isnan(min_logprob) THEN '-inf'::double ELSE min_logprob END AS m
           FROM (SELECT *, lower(regexp_replace(coalesce(task_type, ''), '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')) AS g FROM hard_tail_v5_64_diagnostic)

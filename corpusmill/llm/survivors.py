@@ -1,29 +1,31 @@
 """Best representative of each duplicate group (problem 3).
 
-Records are unpivoted to one row for each field, values are scored, the winner of
-each field is chosen by one ordered maximum, and the winners are pivoted back.
-Both choices below are associative, so a hot group is combined in every task
-before the shuffle and never gathered.
-
-* ``lexicographic`` - the stated order of trust, recency and identifier.
-* ``votes`` - the sum of source trust times recency decay of every normalised value.
-
-A sum of votes can't rank a more trusted source above any number of less trusted
-ones, so where the order is lexicographic the votes are replaced by the tuple.
-
-Edge cases: blank values never win; records without an identifier don't count; a
-null or unknown source is trusted last and a null time is the oldest; records that
-belong to no group are left out.
+Records are unpivoted to one row for each field; each row votes for its normalised value;
+the votes of a value are summed up, the winner of each field is chosen by ``max_by``, and
+the winners are pivoted back.  There are two kinds of votes:
+
+* ``decay``   - source trust times recency decay, summed as numbers;
+* ``trusted`` - votes whose weights are so steep that one vote of a more trusted, or then
+  later, record outweighs any number of others.  Such a sum is decided by its largest
+  term, so the sum of a value's votes is their maximum.  This is the order that the
+  stated rule asks for: no sum of numbers can give it, since enough less trusted records
+  would outweigh a trusted one.
+
+A vote's order is one number, so votes are summed in hash tables before the shuffle; a hot
+group is combined in every task and never gathered.
+
+Edge cases: blank values never win; records without an identifier don't count; a null or
+unknown source is trusted last and a null time is the oldest; records that belong to no
+group are left out; times before 1900 or after 2184 count as those years' ends.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BLANKS = r"[\s\x{ad}\x{180e}\x{200b}-\x{200f}\x{2060}\x{feff}]"
-#: trust of a source without a rank
-UNTRUSTED = 2_147_483_647
 
 
 def _trim(c: Column) -> Column:
@@ -65,7 +67,8 @@ def with_group(df: DataFrame, prompts: DataFrame, on: str = "k") -> DataFrame:
 
 def trusted(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds ``trust_rank`` from the catalog, sources compared without case and surrounding white space."""
-    ranks = catalog.groupBy(F.lower(_trim(F.col("source"))).alias("_src")).agg(F.min("trust_rank").alias("trust_rank"))
+    level = [F.max("level").alias("level")] if "level" in catalog.columns else []
+    ranks = catalog.groupBy(F.lower(_trim(F.col("source"))).alias("_src")).agg(F.min("trust_rank").alias("trust_rank"), *level)
     return df.withColumn("_src", F.lower(_trim(F.col("source")))).join(ranks, "_src", "left").drop("_src")
 
 
@@ -85,56 +88,91 @@ def unpivot(df: DataFrame, fields: dict[str, Column], keep: list[Column]) -> Dat
     return df.select(*keep, F.inline(rows))
 
 
-def lexicographic(df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = ("answer", "completion", "method"), least: int = 2) -> DataFrame:
-    """(puzzle_id, field_name, trace_id): for each group of ``least`` or more records the record each field is taken from."""
-    src = trusted(_needed(df, fields), catalog)
-    # only the flags of a value travel: 0 for blank, 1 for a value, 2 for a completion with a box
-    flags = {f: F.when(is_blank(F.col(f)), 0).when(boxed(F.col(f)) if f == "completion" else F.lit(False), 2).otherwise(1) for f in fields}
-    long = unpivot(
-        src,
-        flags,
-        [
-            group_key(F.col("id"), F.col("prompt")).alias("k"),
-            F.col("trace_id"),
-            F.coalesce(F.col("trust_rank"), F.lit(UNTRUSTED)).alias("rank"),
-            F.col("updated_at"),
-        ],
-    ).where(F.col("k").isNotNull())
-    order = F.struct(F.col("value").alias("v"), (-F.col("rank").cast("bigint")).alias("r"), F.col("updated_at").alias("u"), (-F.col("trace_id")).alias("t"))
-    best = F.max(F.when(F.col("value") > 0, order))
-    # combined by spelling first: the join then meets each spelling once, whatever its size
-    spelled = long.groupBy("k", "field_name").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    groups = with_group(spelled, prompts).groupBy("puzzle_id", "field_name").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    return groups.where((F.col("n") >= least) & F.col("best").isNotNull()).select("puzzle_id", "field_name", (-F.col("best.t")).alias("trace_id"))
-
-
-def votes(
-    df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = ("answer", "completion", "method"), half_life_days: float = 90.0
+FIELDS = ("answer", "completion", "method")
+#: bits of a time in microseconds since 1900, and of an identifier
+TIME_BITS, ID_BITS, LEVELS = 53, 64, 254
+_SINCE_1900 = 2_208_988_800_000_000
+
+
+def _decimal(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
+def _levels(catalog: DataFrame) -> DataFrame:
+    """The catalog with its ranks made dense: ``trust_rank`` and ``level`` from 1, the least trusted, on."""
+    ranks = catalog.where("trust_rank is not null").select("trust_rank").distinct()
+    return ranks.withColumn("level", F.dense_rank().over(W.orderBy(F.desc("trust_rank"))))
+
+
+def vote_order(first: Column, level: Column, time: Column, ident: Column) -> Column:
+    """One number that orders votes by a flag of 0 or 1, trust level, later time and smaller identifier."""
+    micros = F.unix_micros(time.cast("timestamp")) + F.lit(_SINCE_1900)
+    when = F.when(time.isNull(), F.lit(0)).otherwise(F.greatest(F.least(micros, F.lit((1 << TIME_BITS) - 1)), F.lit(1)))
+    high = (first * F.lit(LEVELS + 2) + F.coalesce(level, F.lit(0))).cast("decimal(38,0)")
+    ident_part = _decimal((1 << (ID_BITS - 1)) - 1) - ident.cast("decimal(38,0)")
+    return ((high * _decimal(1 << TIME_BITS) + when.cast("decimal(38,0)")).cast("decimal(38,0)") * _decimal(1 << ID_BITS)).cast("decimal(38,0)") + ident_part
+
+
+def voted_by(order: Column) -> Column:
+    """The identifier in a vote's order."""
+    return (_decimal((1 << (ID_BITS - 1)) - 1) - order % _decimal(1 << ID_BITS)).cast("bigint")
+
+
+def winners(
+    df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = FIELDS, votes: str = "trusted", half_life_days: float = 90.0
 ) -> DataFrame:
-    """(puzzle_id, then value, trace and vote share of each field): the value with the largest sum of trust times recency decay.
+    """(puzzle_id, field_name, trace_id, share, n): for each group and field the record whose value wins, its value's share of the votes, and the group's size.
 
-    A source of rank r weighs 1/r (unknown: 1/100); a record loses half its weight in ``half_life_days``.
-    Decay is relative, so the day it is counted from is of no account.  Values are normalised by
-    white space; equal sums go to the later, then the smaller record.
+    With ``decay`` a source of rank r weighs 1/r (unknown: 1/100) and a record loses half its weight in ``half_life_days``; decay is
+    relative, so the day it is counted from is of no account; equal sums go to the value with the later, then the smaller record.
+    With ``trusted`` the share is null.  Values are normalised by white space.
     """
-    src = trusted(_needed(df, fields), catalog)
-    norm = {f: F.when(~is_blank(F.col(f)), F.xxhash64(F.trim(F.regexp_replace(F.col(f), r"(?U)\s+", " ")))) for f in fields}
+    levels = _levels(catalog)
+    if votes == "trusted" and levels.agg(F.max("level")).first()[0] not in (None, *range(LEVELS + 1)):
+        raise ValueError(f"more than {LEVELS} levels of trust")
+    src = trusted(_needed(df, fields), catalog.join(levels, "trust_rank", "left"))
+    norm = {}
+    for f in fields:
+        # the value's digest, and whether it is one of the first kind
+        first = boxed(F.col(f)) if f == "completion" and votes == "trusted" else F.lit(False)
+        digest = F.xxhash64(F.trim(F.regexp_replace(F.col(f), r"(?U)\s+", " ")))
+        norm[f] = F.when(~is_blank(F.col(f)), F.struct(digest.alias("digest"), F.coalesce(first, F.lit(False)).cast("int").alias("first")))
     age = F.datediff(F.col("updated_at").cast("date"), F.lit("2025-01-01").cast("date"))
     weight = F.coalesce(1.0 / F.col("trust_rank"), F.lit(0.01)) * F.coalesce(F.pow(F.lit(2.0), age / F.lit(half_life_days)), F.lit(1e-6))
-    long = unpivot(src, norm, [group_key(F.col("id"), F.col("prompt")).alias("k"), F.col("trace_id"), F.col("updated_at"), weight.alias("w")]).where(
-        F.col("k").isNotNull() & F.col("value").isNotNull()
-    )
-    who = F.max(F.struct(F.col("updated_at").alias("u"), (-F.col("trace_id")).alias("t")))
-    spelled = long.groupBy("k", "field_name", "value").agg(F.sum("w").alias("w"), who.alias("who"))
-    summed = with_group(spelled, prompts).groupBy("puzzle_id", "field_name", "value").agg(F.sum("w").alias("w"), F.max("who").alias("who"))
-    # sums are compared at nine digits, so that the order of addition decides nothing
+    keep = [group_key(F.col("id"), F.col("prompt")).alias("k"), F.col("trace_id"), F.col("updated_at"), F.col("level"), weight.alias("w")]
+    long = unpivot(src, norm, keep).where(F.col("k").isNotNull())
+    order = vote_order(F.col("value.first"), F.col("level") if votes == "trusted" else F.lit(0), F.col("updated_at"), F.col("trace_id"))
+    votes_of = long.select("k", "field_name", F.col("value.digest").alias("digest"), F.when(F.col("value").isNotNull(), order).alias("vote"), "w")
+    # summed by spelling of the group first: the join then meets each spelling once, whatever its size
+    spelled = votes_of.groupBy("k", "field_name", "digest").agg(F.max("vote").alias("vote"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    summed = with_group(spelled, prompts).groupBy("puzzle_id", "field_name", "digest").agg(F.max("vote").alias("vote"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+    # sums are compared at nine digits, so that the order of addition decides nothing; blank values have no vote
+    ballot = F.struct(F.round("w", 9).alias("w"), "vote") if votes == "decay" else F.col("vote")
     won = summed.groupBy("puzzle_id", "field_name").agg(
-        F.max_by(F.col("who.t"), F.struct(F.round("w", 9), F.col("who.u"), F.col("who.t"))).alias("t"), F.max("w").alias("top"), F.sum("w").alias("all")
-    )
-    chosen = won.select("puzzle_id", "field_name", (-F.col("t")).alias("trace_id"), F.round(F.col("top") / F.col("all"), 6).alias("share"))
-    values = unpivot(_needed(df, fields), {f: F.col(f) for f in fields}, [F.col("trace_id")])
-    full = chosen.join(values, ["trace_id", "field_name"], "left")
-    wide = [
-        F.max(F.when(F.col("field_name") == f, F.col(c))).alias(f if c == "value" else f"{f}_{c}") for f in fields for c in ("value", "trace_id", "share")
-    ]
-    return full.groupBy("puzzle_id").agg(*wide)
+        F.max_by("vote", F.when(F.col("vote").isNotNull(), ballot)).alias("vote"), F.max(F.when(F.col("vote").isNotNull(), F.col("w"))).alias("top"),
+        F.sum(F.when(F.col("vote").isNotNull(), F.col("w"))).alias("all"), F.sum("n").alias("n"),
+    )
+    share = F.round(F.col("top") / F.col("all"), 6) if votes == "decay" else F.lit(None).cast("double")
+    return won.where(F.col("vote").isNotNull()).select("puzzle_id", "field_name", voted_by(F.col("vote")).alias("trace_id"), share.alias("share"), "n")
+
+
+def pivoted(won: DataFrame, cols: dict[str, str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row for each puzzle with the columns of its fields; ``cols`` gives each column's suffix."""
+    wide = [F.max(F.when(F.col("field_name") == f, F.col(c))).alias(f"{f}{suffix}") for f in fields for c, suffix in cols.items()]
+    return won.groupBy("puzzle_id").agg(*wide)
+
+
+def lexicographic(df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = FIELDS, least: int = 2) -> DataFrame:
+    """(puzzle_id, field_name, trace_id): for each group of ``least`` or more records the record each field is taken from, by ``trusted`` votes."""
+    record = pivoted(winners(df, prompts, catalog, fields).where(F.col("n") >= least), {"trace_id": ""}, fields)
+    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("trace_id")) for f in fields])
+    return record.select("puzzle_id", F.inline(rows)).where(F.col("trace_id").isNotNull())
+
+
+def votes(df: DataFrame, prompts: DataFrame, catalog: DataFrame, fields: tuple[str, ...] = FIELDS, half_life_days: float = 90.0) -> DataFrame:
+    """(puzzle_id, then value, trace and vote share of each field): the record built of the values with the largest sums of trust times recency decay."""
+    chosen = winners(df, prompts, catalog, fields, "decay", half_life_days)
+    values = unpivot(_needed(df, fields), {f: F.col(f) for f in fields}, [F.col("trace_id")]).where(F.col("value").isNotNull())
+    # a trace_id that comes again gives its largest value
+    values = values.groupBy("trace_id", "field_name").agg(F.max("value").alias("value"))
+    return pivoted(chosen.join(values, ["trace_id", "field_name"], "left"), {"value": "", "trace_id": "_trace_id", "share": "_share"}, fields)
