@@ -30,6 +30,12 @@ def _p5(how) -> Query:
     return lambda s, d: how(table(s, d, "traces"), table(s, d, "tokenized_records"))
 
 
+def _decoded(s: SparkSession, d: str) -> DataFrame:
+    """Digests of the bytes that the ids stand for: those of the texts."""
+    raw = encode.decode_column(encode.encode_column(table(s, d, "documents"), ["doc_id"]), ["doc_id"])
+    return raw.select("doc_id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha256"))
+
+
 def _p7(how) -> Query:
     return lambda s, d: how(mixing.Mixture(table(s, d, "documents"), table(s, d, "mix_targets")))
 
@@ -46,6 +52,8 @@ def queries() -> dict[str, Query]:
         "p5_found": _p5(pairs_op.cut_records),
         "p5_rates": _p5(pairs_op.cut_rates),
         "p6_ids": lambda s, d: encode.encode_column(table(s, d, "documents"), ["doc_id"]),
+        "p6_decoded": _decoded,
+        "p7_valid": _p7(mixing.Mixture.validity),
         "p7_mix": _p7(mixing.Mixture.documents),
         "p7_shares": _p7(mixing.Mixture.shares),
         "p7_schedule": _p7(mixing.Mixture.schedule),

@@ -50,6 +50,8 @@ def oracle_sql() -> dict[str, str]:
           full_rows AS (SELECT o.*, l.v FROM o JOIN l ON o.t = l.trace_id AND o.f = l.f AND o.puzzle_id = l.puzzle_id)
           SELECT puzzle_id, {", ".join(f"max(CASE WHEN f = '{f}' THEN v END) AS {f}, max(CASE WHEN f = '{f}' THEN t END) AS {f}_trace_id, max(CASE WHEN f = '{f}' THEN round(share, 6) END) AS {f}_share" for f in ("answer", "completion", "method"))}
           FROM full_rows GROUP BY puzzle_id""",
+        "p6_decoded": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::bigint AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "p7_valid": "SELECT plan_id, 0::bigint AS n_over, 0::bigint AS n_foreign, 0::bigint AS n_wrong_uses, 0::bigint AS n_outside, 'met' AS plan_state FROM mix_targets GROUP BY plan_id",
         "p4_found": r"""WITH d AS (SELECT DISTINCT CASE WHEN g = '' THEN 'unknown' ELSE g END AS task_type, row_index, hard_tail_score AS s,
             CASE WHEN min_logprob IS NULL OR isnan(min_logprob) THEN '-inf'::double ELSE min_logprob END AS m
           FROM (SELECT *, lower(regexp_replace(coalesce(task_type, ''), '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')) AS g FROM hard_tail_v5_64_diagnostic)

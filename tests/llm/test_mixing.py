@@ -57,6 +57,39 @@ def test_schedule_follows_the_curriculum(spark):
         assert early[x.source] == pytest.approx(x.tokens / 2, abs=60)
 
 
+def test_schedule_table_against_numerical_integration(spark):
+    d, t = frames(spark)
+    knots = {"big": [(0.2, 1.0), (0.5, 0.0), (0.7, 3.0)], "mid": [(0.0, 0.0), (1.0, 5.0)], "tiny": [(0.5, 0.0)]}
+    rows = [(1, s.upper(), x, w) for s, k in knots.items() for x, w in k]
+    m = mixing.Mixture(d, t, schedule=spark.createDataFrame([*rows, (1, "big", 2.0, 9.0), (1, "big", 0.9, None), (None, "big", 0.1, 1.0)], "plan_id int, source string, t double, weight double"))
+    src = {r.doc_id: (r.source, r.n_tokens) for r in m.documents().where("plan_id = 1").collect()}
+    got = [r for r in m.schedule().collect() if r.plan_id == 1]
+    total = Counter()
+    for r in got:
+        total[src[r.doc_id][0]] += src[r.doc_id][1]
+
+    def weight(k, x):
+        if all(w == 0 for _, w in k):
+            return 1.0
+        if x <= k[0][0]:
+            return k[0][1]
+        for (a, u), (b, v) in zip(k, k[1:]):
+            if x <= b:
+                return u + (v - u) * (x - a) / (b - a)
+        return k[-1][1]
+
+    steps = 4000
+    for s, k in knots.items():
+        ws = [weight(k, (i + 0.5) / steps) for i in range(steps)]
+        for at in (0.1, 0.4, 0.6, 0.9):
+            want = sum(ws[: int(at * steps)]) / sum(ws)
+            have = sum(src[r.doc_id][1] for r in got if src[r.doc_id][0] == s and r.position <= at) / total[s]
+            assert have == pytest.approx(want, abs=40 / total[s] + 1e-3), (s, at)
+    assert {r.plan_state for r in m.shares().where("plan_id = 3").collect()} == {"short"}
+    v = {r.plan_id: tuple(r)[1:5] for r in m.validity().collect()}
+    assert set(v) == {1, 2, 3} and set(v.values()) == {(0, 0, 0, 0)}
+
+
 def test_empty(spark):
     d, t = frames(spark, 40)
     for m in (mixing.Mixture(d.limit(0), t), mixing.Mixture(d, t.limit(0))):
