@@ -31,9 +31,10 @@ KEYWORDS = {
     "CoT": r"\bcot\b",
 }
 # Fixed value: names of columns and keys that are redacted.
-SENSITIVE = r"(?i)(prompt|completion|answer|question|response|trace|token|label|target|problem|input|output|id|submission|path)"
+SENSITIVE = r"(prompt|completion|answer|question|response|trace|token|label|target|problem|input|output|id|submission|path)"
 PATHS = r"/(?:Users|private|tmp|Volumes)/[^\s\"']+"
 
+# Fixed value: what counts as an address.
 _URL = r"(?i)https?://[^\s\]\)\}\"'<>\\]+"
 
 
@@ -83,7 +84,9 @@ def _walk(text: str | None, wanted: frozenset[str], limit: int) -> list[tuple[st
     except ValueError:
         return []
     out, seen = [], 0
-    while stack and seen < limit:
+    while stack:
+        if seen == limit:
+            return [*out, ("harvest_error", f"stopped at {limit} nodes")]
         node = stack.pop()
         seen += 1
         if isinstance(node, dict):
@@ -97,7 +100,7 @@ def _walk(text: str | None, wanted: frozenset[str], limit: int) -> list[tuple[st
 
 
 def json_walk(col: Column, wanted: list[str], limit: int = 20_000) -> Column:
-    """Array of (key, value) for every wanted key at any depth, depth first; at most ``limit`` nodes of a document are visited."""
+    """Array of (key, value) for every wanted key at any depth, depth first; a document of more than ``limit`` nodes ends with an entry ``harvest_error``."""
     keys = frozenset(wanted)
     kind = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
     return F.udf(lambda s: _walk(s, keys, limit), kind, useArrow=True)(col)
@@ -107,7 +110,7 @@ def redacted(df: DataFrame, row: str) -> DataFrame:
     """Columns with sensitive names dropped, and texts that aren't numbers as ``<text:length>``; ``row`` stays."""
     out = [F.col(row)]
     for f in df.schema.fields:
-        if f.name == row or re.search(SENSITIVE[4:], f.name, re.I):
+        if f.name == row or re.search(SENSITIVE, f.name, re.I):
             continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
@@ -125,7 +128,7 @@ def redact_text(text: Column) -> Column:
 def _clean(value, key: str):
     if isinstance(value, dict):
         return {k: c for k, v in value.items() if (c := _clean(v, k)) is not None}
-    hidden = re.search(SENSITIVE[4:], key, re.I)
+    hidden = re.search(SENSITIVE, key, re.I)
     if isinstance(value, list):
         return {"count": len(value)} if hidden else [_clean(v, key) for v in value[:128]]
     if isinstance(value, str):
@@ -174,6 +177,11 @@ def inventory(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.select(F.col(path).alias("path"), F.length(content).cast("bigint").alias("bytes"), F.sha2(F.col(content), 256).alias("sha256"))
 
 
+def record_digest(df: DataFrame, keep: list[str], fields: list[str], name: str = "digest") -> DataFrame:
+    """``keep`` and the SHA-256 of each record's ``fields`` as compact JSON in their order, nulls included."""
+    return df.select(*keep, F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias(name))
+
+
 def stable_unique(values: Column) -> Column:
     """Distinct texts of an array in order, stripped, blanks and nulls dropped."""
     return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))

@@ -40,8 +40,12 @@ def range_bucket(c: Column, width: int = 50_000) -> Column:
     return F.floor(c / width)
 
 
-def first_per_key(df: DataFrame, key: list[Column | str], order: Column, last: bool = False) -> DataFrame:
-    """One row for each key, the one with the smallest (or largest) ``order``; combined before the shuffle."""
+def first_per_key(df: DataFrame, key: list[Column | str], order: Column, last: bool = False, least_nulls: bool = False) -> DataFrame:
+    """One row for each key, the one with the smallest (or largest) ``order``; combined before the shuffle.
+
+    Select the needed columns before: the whole row travels.  A null order is passed over, or the smallest with ``least_nulls``.
+    """
+    order = F.struct(order) if least_nulls else order
     cols = df.columns
     pick = (F.max_by if last else F.min_by)(F.struct(*[F.col(f"`{c}`") for c in cols]), order)
     keys = [k if isinstance(k, Column) else F.col(k) for k in key]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -538,39 +537,44 @@ def solve(prompt: str | None, kind: str, vocab: dict[str, int]) -> Solved:
     return solver(p) if solver else (None, "missing")
 
 
-#: most words of the list that ciphers are solved with; the commonest are kept
-VOCABULARY = 20_000
+def letter_pattern(word: Column) -> Column:
+    """Where each letter of a word first occurs: words of one pattern can stand for each other in a cipher."""
+    letters = F.split(word, "")
+    return F.array_join(F.transform(letters, lambda c: F.array_position(letters, c).cast("string")), ".")
 
 
-def solved(puzzles: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, family, prediction, method and correct of puzzles with prompt and answer.
+def vocabularies(ciphers: DataFrame) -> DataFrame:
+    """(key, words): for each cipher prompt, by its digest, the words with their counts that have the letter pattern of one of its words.
 
-    The word list is bounded by ``VOCABULARY`` words, the commonest first.
+    The whole word list takes part; a prompt meets the words of its own patterns only.
     """
+    listed = plain_words(ciphers, "prompt").withColumn("pattern", letter_pattern(F.col("word")))
+    shelves = listed.groupBy("pattern").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    text = F.lower(F.regexp_extract(text_of(F.col("prompt")), _CIPHER_FOR.pattern.join(["(?i)", ""]), 1))
+    need = ciphers.select(F.sha2("prompt", 256).alias("key"), F.explode(F.array_distinct(F.transform(F.split(F.trim(text), r"\s+"), letter_pattern))).alias("pattern")).distinct()
+    return need.join(shelves, "pattern").groupBy("key").agg(F.flatten(F.collect_list("words")).alias("words"))
+
+
+def solved(puzzles: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, family, prediction, method and correct of puzzles with prompt and answer; ciphers with the words of all cipher examples."""
     d = puzzles.withColumn("family", family(F.col("prompt")))
-    rows = plain_words(d.where("family = 'text_cipher'"), "prompt").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = puzzles.sparkSession.sparkContext.broadcast({r.word: r.n for r in rows})
+    ciphers = d.where("family = 'text_cipher'").select("prompt")
+    d = d.withColumn("_key", F.when(F.col("family") == "text_cipher", F.sha2("prompt", 256))).join(vocabularies(ciphers).withColumnRenamed("key", "_key"), "_key", "left")
 
     def run(batches):
-        by_length: dict[int, dict[str, int]] = defaultdict(dict)
-        for w, n in words.value.items():
-            by_length[len(w)][w] = n
         for b in batches:
             base = [b.column(i) for i in range(len(keep) + 1)]
             out = []
-            for kind, p, a in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), b.column(len(keep) + 2).to_pylist(), strict=True):
-                vocab: dict[str, int] = {}
-                if kind == "text_cipher" and (m := _CIPHER_FOR.search(p or "")):
-                    for n in {len(w) for w in m[1].split()}:
-                        vocab |= by_length.get(n, {})
-                pred, method = solve(p, kind, vocab)
+            for kind, p, a, words in zip(*(b.column(len(keep) + i).to_pylist() for i in range(4)), strict=True):
+                # in one order, which decides between equal scores
+                pred, method = solve(p, kind, {w["word"]: w["n"] for w in sorted(words or [], key=lambda w: (-w["n"], w["word"]))})
                 out.append((pred, method, pred is not None and same(a or "", pred)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*base, *arrays], names=[*keep, "family", "prediction", "method", "correct"])
 
     fields = ", ".join(f"`{k}` {puzzles.schema[k].dataType.simpleString()}" for k in keep)
-    d = d.select(*keep, "family", F.col("prompt").alias("_p"), F.col("answer").alias("_a"))
+    d = d.select(*keep, "family", F.col("prompt").alias("_p"), F.col("answer").alias("_a"), "words")
     # searches cost far more than moving the prompts, and differ much from one to the next
     parts = max(4 * puzzles.sparkSession.sparkContext.defaultParallelism, puzzles.rdd.getNumPartitions())
     d = d.repartition(parts, *keep)

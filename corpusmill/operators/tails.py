@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import split_flags, stable_hash, text_of
 from corpusmill.operators.ranking import hex_bucket, ordered_rank, quantiles
+from corpusmill.session import cut
 
 
 def finite(c: Column) -> Column:
@@ -159,14 +160,17 @@ def worst_tokens(rows: DataFrame, token: str, score: str, row: str, top: int = 5
     """(token, n, mean_score, min_score, top_sources, top_tasks, examples) of each token with a finite score.
 
     Counters are ``name:count`` joined by ``|``, by falling count and then by name; examples are the first rows.
+    The rows are read once; all counters come from one aggregate by token, source and task.
     """
     d = rows.where(F.col(token).isNotNull() & finite(F.col(score))).select(
         F.col(token).alias("token"), F.col(score).alias("v"), text_of(F.col("source")).alias("source"), text_of(F.col("task_type")).alias("task"), F.col(row).alias("row")
     )
-    base = d.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("_s"), F.min("v").alias("min_score"))
+    d = cut(d)
+    cells = cut(d.groupBy("token", "source", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("_s"), F.min("v").alias("min_score")))
+    base = cells.groupBy("token").agg(F.sum("n").alias("n"), F.sum("_s").alias("_s"), F.min("min_score").alias("min_score"))
 
     def counter(name: str, out: str) -> DataFrame:
-        c = d.groupBy("token", name).agg(F.count(F.lit(1)).alias("k"))
+        c = cells.groupBy("token", name).agg(F.sum("n").alias("k"))
         c = c.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy(F.desc("k"), name))).where(F.col("r") <= top)
         joined = F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", name, "k").alias("t")))), lambda x: x["t"])
         return c.groupBy("token").agg(F.array_join(joined, "|").alias(out))

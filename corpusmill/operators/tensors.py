@@ -165,6 +165,17 @@ def adapter_spec(text: str) -> tuple[str, str, float]:
     return name, path, float(weight)
 
 
+def tied(tensors: DataFrame, group: Column) -> DataFrame:
+    """(group, shape, data) of tensors that share their values: the mean of each group, place by place; null groups are left out.
+
+    ``tensors`` has shape and data.  Tensors are unfolded to places, so a group of any number of tensors is combined in every task.
+    """
+    places = tensors.select(group.alias("group"), "shape", F.posexplode("data").alias("place", "x")).where(F.col("group").isNotNull())
+    means = places.groupBy("group", "shape", "place").agg((F.sum(F.col("x").cast("double")) / F.count(F.lit(1))).alias("x"))
+    rows = means.groupBy("group", "shape").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("d"))
+    return rows.select("group", "shape", F.transform("d", lambda r: r["x"]).alias("data"))
+
+
 def checked(comparison: DataFrame, min_cosine: float = 0.999, max_delta: float = 1e-8) -> DataFrame:
     """A comparison that fails when run if a tensor is missing, has another shape, or differs beyond the limits."""
     ok = (F.col("missing") == 0) & (F.col("other_shape") == 0) & (F.col("min_cosine") >= min_cosine) & (F.col("mean_delta") <= max_delta)

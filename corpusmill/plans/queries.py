@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rewards
@@ -44,8 +45,6 @@ def classes(t: DataFrame) -> DataFrame:
 def class_heads(t: DataFrame) -> DataFrame:
     """The first five prompts of each class by id."""
     d = t.select("id", solvers.family(F.col("prompt")).alias("family"), tx.prefix(F.col("prompt")).alias("prefix")).distinct()
-    from pyspark.sql import Window as W
-
     d = d.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("id", "prefix")))
     return d.where("place <= 5")
 
@@ -141,8 +140,13 @@ def resumed(t: DataFrame, p: DataFrame) -> DataFrame:
 # tails --------------------------------------------------------------------------------------
 
 
-def _scored(h: DataFrame) -> DataFrame:
-    once = ranking.first_per_key(h, ["row_index"], F.struct("arrived_at"))
+#: what the tail queries need of an audit row; the order of delivery goes beside it
+AUDIT = ("row_index", "id", "source", "task_type", "method", "hard_tail_score", "mean_logprob", "quality_flags")
+
+
+def _scored(h: DataFrame, *extra: str) -> DataFrame:
+    """The first delivery of each row, in the columns a query needs only, scored."""
+    once = ranking.first_per_key(h.select(*AUDIT, "arrived_at", *extra), ["row_index"], F.col("arrived_at"), least_nulls=True)
     return tails.scored(once, "hard_tail_score")
 
 
@@ -159,14 +163,14 @@ def score_summary(h: DataFrame) -> DataFrame:
 
 
 def decision(h: DataFrame) -> DataFrame:
-    d = _scored(h)
+    d = _scored(h, "worst_context")
     selected = d.where("score < -10")
     worst = selected.where("score < -14")
     return tails.choose_path(tails.path_scores(selected, worst, ("mossgate", "oakrill"))).select("path", F.round("score", 9).alias("score"), "chosen")
 
 
 def worst_tokens(h: DataFrame) -> DataFrame:
-    d = tails.worst_tokens(_scored(h), "worst_context", "min_logprob", "row_index")
+    d = tails.worst_tokens(_scored(h, "worst_context", "min_logprob"), "worst_context", "min_logprob", "row_index")
     return d.withColumn("mean_score", _mean("mean_score"))
 
 
@@ -193,12 +197,12 @@ def verifier(t: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def margin_sets(h: DataFrame) -> DataFrame:
-    d = preferences.margins(_scored(h).select("mean_logprob", "min_logprob", "source", F.col("method")), F.col("mean_logprob"), F.col("min_logprob"), ["source", "method"])
+    d = preferences.margins(_scored(h, "min_logprob").select("mean_logprob", "min_logprob", "source", F.col("method")), F.col("mean_logprob"), F.col("min_logprob"), ["source", "method"])
     return d.select("dim", "value", "n", _mean("mean_margin").alias("mean_margin"), F.round("win_rate", 9).alias("win_rate"))
 
 
 def margin_medians(h: DataFrame) -> DataFrame:
-    d = preferences.margin_medians(_scored(h), F.col("mean_logprob"), F.col("min_logprob"), "source")
+    d = preferences.margin_medians(_scored(h, "min_logprob"), F.col("mean_logprob"), F.col("min_logprob"), "source")
     return d.select("source", F.round("median", 9).alias("median"))
 
 
@@ -288,6 +292,11 @@ def references(d: DataFrame) -> DataFrame:
     )
 
 
+def _family(p: DataFrame, *names: str) -> DataFrame:
+    """Puzzles of some families: the filter stands before the solver, which none passes."""
+    return p.where(solvers.family(F.col("prompt")).isin(*names))
+
+
 def queries() -> dict[str, Query]:
     two = ("traces", "train_puzzles")
     return {
@@ -341,7 +350,7 @@ def queries() -> dict[str, Query]:
         "text_digests": _over("documents", lambda d: harvest.inventory(d.where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content")))),
         "plain_words": _over("train_puzzles", lambda p: solvers.plain_words(p, "prompt")),
         "solved_puzzles": _over("train_puzzles", lambda p: solvers.solved(p, ["id"])),
-        "solved_numerals": _over("train_puzzles", lambda p: solvers.solved(p, ["id"]).where("family = 'numeral_system'").select("id", "prediction", "correct")),
-        "solved_rates": _over("train_puzzles", lambda p: solvers.solved(p, ["id"]).where("family in ('gravity_physics', 'unit_conversion')").select("id", "family", "prediction", "correct")),
+        "solved_numerals": _over("train_puzzles", lambda p: solvers.solved(_family(p, "numeral_system"), ["id"]).select("id", "prediction", "correct")),
+        "solved_rates": _over("train_puzzles", lambda p: solvers.solved(_family(p, "gravity_physics", "unit_conversion"), ["id"]).select("id", "family", "prediction", "correct")),
         "family_accuracy": _over("train_puzzles", lambda p: solvers.accuracy(solvers.solved(p, ["id"]))),
     }

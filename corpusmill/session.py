@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; make a local one only where the setting is absent (tests)."""
+    """Use the folder of ``spark.checkpoint.dir``, which all executors must see.
+
+    Without that setting a local session, whose executors are its driver, takes a folder of this machine; a cluster is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        shared = tempfile.mkdtemp(prefix="corpusmill-")
+    sc.setCheckpointDir(shared)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{re.sub('^file:/*', '/', root)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:

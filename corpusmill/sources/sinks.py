@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
         else:
             c = F.col(f).cast("string")
         out.append(F.coalesce(c, F.lit("")).alias(f))
-    df.select(*out).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    df.select(*out).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(path: str, payload: object) -> None:
