@@ -215,6 +215,26 @@ def verifier_counts(t: DataFrame, p: DataFrame) -> DataFrame:
     return d.groupBy("origin", "task").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _numeric_sides(t: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the verifier set with numbers or bits as answers, stated without nested braces: what SQL can score too."""
+    text = tx.text_of(F.col("completion"))
+    stated = tx.stated_answer(tx.strip_ws(text), tx.flat_boxes(text))
+    plain = F.col("answer").rlike(r"^[01]+\z") | (F.col("answer").rlike(r"^-?[0-9]+(\.[0-9]+)?\z") & stated.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"))
+    up, down = core._sides(t, p)
+    return tuple(d.where(plain & ~text.rlike(r"\\boxed\{[^{}]*\{")) for d in (up, down))
+
+
+def numeric_rewards(t: DataFrame, p: DataFrame) -> DataFrame:
+    """Rewards of completions whose answers are numbers or bits."""
+    d = preferences.verifier_rows(*_numeric_sides(t, p))
+    return d.select("row", "id", "origin", "extracted_answer", "reward", F.array_join("flags", ";").alias("flags"))
+
+
+def numeric_pairs(t: DataFrame, p: DataFrame) -> DataFrame:
+    """Preference pairs of the same rows."""
+    return preferences.pairs(*_numeric_sides(t, p), core.PRIORITY)
+
+
 def worked_traces(p: DataFrame) -> DataFrame:
     """Worked texts of the solved numerals."""
     d = solvers.correct_traces(solvers.solved(core._family(p, "numeral_system"), ["id"]), ["id"])
@@ -396,6 +416,8 @@ def queries() -> dict[str, Query]:
         "audit_counts": _over(HARD, audit_counts),
         "dry_run": _over("tokenized_records", dry_run),
         "verifier_counts": _both(*two, verifier_counts),
+        "numeric_rewards": _both(*two, numeric_rewards),
+        "numeric_pairs": _both(*two, numeric_pairs),
         "worked_traces": _over("train_puzzles", worked_traces),
         "train_profile": _both(*two, profile),
         "training_texts": _over("traces", training_texts),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.functions.render import END, PROMPT_SUFFIX, TURN
 from corpusmill.functions.text import MANIFEST_TASKS, REWARD_TASKS, WS
 from corpusmill.plans import oracle as o
-from corpusmill.plans.queries import HARD, MAX_IDS
+from corpusmill.plans.queries import HARD, PRIORITY
 
 _USABLE = "len(input_ids) > 0 AND len(input_ids) = len(loss_mask)"
 
@@ -38,6 +38,45 @@ def _same(a: str, b: str) -> str:
       ELSE lower({a}) = lower({b}) END"""
 
 
+_NUM = r"'-?[0-9]+(\.[0-9]+)?'"
+
+
+def _rewards() -> str:
+    """CTEs up to ``scored``: reward and flags of the traces whose answers are numbers or bits."""
+    ws, text = WS, o._strip("coalesce(completion, '')")
+    box = r"regexp_matches(coalesce(completion, ''), '\\boxed\{[^{}]*\{')"
+
+    def line(w: str) -> str:
+        return o._squash(f"regexp_extract({text}, '(?im){w}{ws}*[:=]{ws}*([^\\n]+)$', 1)")
+
+    given = f"CASE WHEN len(boxes) > 0 THEN {o._squash('boxes[-1]')} ELSE coalesce(nullif({line('final answer')}, ''), {line('answer')}, '') END"
+    numeric = "task IN ('gravity_physics', 'unit_conversion', 'symbolic_equation')"
+    return rf"""d AS (SELECT *, {o._strip("coalesce(gold, '')")} AS a, {o._FINAL} AS final, {o._BOXES} AS boxes, {_TASK} AS task FROM {o._GOLD} WHERE NOT {box}),
+      g AS (SELECT *, {o._squash("a")} AS w, {given} AS given, CASE WHEN final = a THEN 'positive' ELSE 'negative' END AS origin FROM d),
+      k AS (SELECT *, regexp_full_match(w, '[01]+') AS is_bits FROM g WHERE regexp_full_match(w, '[01]+') OR (regexp_full_match(w, {_NUM}) AND regexp_full_match(given, {_NUM}))),
+      e AS (SELECT *, coalesce(given <> '' AND {_same("w", "given")}, false) AS exact, CASE WHEN NOT is_bits THEN abs(w::double - given::double) / greatest(abs(w::double), 1.0) END AS off,
+        task = 'bit_manipulation' AND given <> '' AND given <> w AND list_contains(regexp_extract_all(coalesce(prompt, ''), '->\s*([01]{{8}})', 1), given) AS copied FROM k),
+      s AS (SELECT *, CASE WHEN is_bits THEN CASE WHEN regexp_full_match(given, '[01]+') THEN
+          coalesce(list_sum(list_transform(range(1, least(length(w), length(given)) + 1), lambda i: (w[i:i] = given[i:i])::int)), 0) / greatest(length(w), length(given))::double ELSE 0.0 END
+          ELSE greatest(0.0, 1.0 - least(off / 0.25, 1.0)) END AS credit,
+        CASE WHEN task = 'bit_manipulation' THEN regexp_full_match(given, '[01]{{8}}') WHEN task = 'text_cipher' THEN regexp_full_match(given, '(?i)[a-z ]+') WHEN task = 'numeral_system' THEN regexp_full_match(given, '(?i)[ivxlcdm]+')
+          WHEN {numeric} THEN regexp_full_match(given, {_NUM}) ELSE given <> '' END AS formed FROM e),
+      scored AS (SELECT trace_id AS row, id, source, completion, origin, given AS extracted_answer,
+        round(greatest(0.0, least(1.0, 0.58 * exact::int + 0.24 * credit + 0.08 * formed::int + 0.06 * (given <> '')::int + 0.04 * (len(boxes) > 0)::int + CASE WHEN copied THEN -0.3 ELSE 0.0 END)), 6)::double AS reward,
+        array_to_string(list_sort(list_distinct(list_filter([CASE WHEN exact THEN 'answer_exact' ELSE 'wrong_final' END, CASE WHEN len(boxes) > 1 THEN 'multiple_boxed' END, CASE WHEN given = '' THEN 'missing_extracted_answer' END,
+          CASE WHEN is_bits AND given = '' THEN 'missing_final' END, CASE WHEN is_bits AND given <> '' AND NOT regexp_full_match(given, '[01]+') THEN 'malformed_binary' END,
+          CASE WHEN is_bits AND regexp_full_match(given, '[01]+') AND length(w) <> length(given) THEN 'wrong_binary_length' END, CASE WHEN off > 0.01 THEN 'numeric_outside_metric_tolerance' END], lambda x: x IS NOT NULL))), ';') AS flags FROM s)"""
+
+
+def _pairs() -> str:
+    rank = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " ELSE 99 END"
+    exact = "list_contains(string_split(flags, ';'), 'answer_exact')"
+    return f"""WITH {_rewards()}, best AS (SELECT id, row AS chosen, reward AS up FROM scored WHERE origin = 'positive' AND {exact}
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY {rank}, length(coalesce(completion, '')), row) = 1)
+      SELECT n.id, chosen, n.row AS rejected, round(up - reward, 6) AS margin, CASE WHEN chosen IS NULL THEN 'no_positive_overlap' WHEN {exact} THEN 'rejected_exact_skip' WHEN round(up - reward, 6) < 0.2 THEN 'low_margin_skip' ELSE 'pair' END AS status
+      FROM scored n LEFT JOIN best USING (id) WHERE n.origin = 'negative'"""
+
+
 def _on_train(name: str) -> str:
     return o.oracle_sql()[name].replace("traces", "train_puzzles").replace("trace_id", "id")
 
@@ -86,6 +125,8 @@ def oracle_sql() -> dict[str, str]:
         "dry_run": f"SELECT rec_id, coalesce({_USABLE}, false) AS is_example FROM tokenized_records",
         "verifier_counts": f"""WITH d AS (SELECT *, {o._strip("coalesce(gold, '')")} AS a, {o._FINAL} AS box FROM {o._GOLD})
           SELECT CASE WHEN box = a THEN 'positive' ELSE 'negative' END AS origin, {_TASK} AS task, count(*) AS n FROM d GROUP BY 1, 2""",
+        "numeric_rewards": f"WITH {_rewards()} SELECT row, id, origin, extracted_answer, reward, flags FROM scored",
+        "numeric_pairs": _pairs(),
         "worked_traces": f"""SELECT id, 'numeral_system' AS family, 'roman_forward' AS method, 'NUMERAL_SYSTEM' || chr(10) || 'Final answer: \\boxed{{' || {o._roman("n")} || '}}' AS completion FROM (
           SELECT id, answer, try_cast(regexp_extract(prompt, '(?i)write the number\\s+(\\d+)\\s+in the Wonderland numeral system', 1) AS bigint) AS n FROM train_puzzles WHERE {o._FAMILY} = 'numeral_system')
           WHERE lower(trim(answer)) = lower({o._roman("n")})""",
