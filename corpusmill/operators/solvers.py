@@ -581,6 +581,21 @@ def solved(puzzles: DataFrame, keep: list[str]) -> DataFrame:
     return d.mapInArrow(run, f"{fields}, family string, prediction string, method string, correct boolean")
 
 
+def gold_searched(puzzles: DataFrame, keep: list[str], most: int = 5_000) -> DataFrame:
+    """``keep`` and ``prediction``: the known answer of each puzzle for which some rule and digit map fits it too; rules with over ``most`` maps of one equation are left out."""
+
+    def run(batches):
+        for b in batches:
+            pairs = zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)
+            found = [(digits_of_symbols(p or "", a or "", most=most) or (None, None))[0] for p, a in pairs]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, pa.string())], names=[*keep, "prediction"])
+
+    fields = ", ".join(f"`{k}` {puzzles.schema[k].dataType.simpleString()}" for k in keep)
+    # searches differ much in cost and are dealt out finely
+    d = puzzles.select(*keep, "prompt", "answer").repartition(4 * puzzles.sparkSession.sparkContext.defaultParallelism)
+    return d.mapInArrow(run, f"{fields}, prediction string")
+
+
 def accuracy(results: DataFrame) -> DataFrame:
     """(family, total, correct, accuracy), ``all`` for the sum, by one rollup."""
     d = results.rollup("family").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("correct").cast("bigint")).alias("correct"))

@@ -241,6 +241,19 @@ def worked_traces(p: DataFrame) -> DataFrame:
     return d.select("id", "family", "method", "completion")
 
 
+def exact_accuracy(p: DataFrame) -> DataFrame:
+    """Accuracy on the families that are solved by one formula."""
+    d = solvers.solved(core._family(p, "numeral_system", "gravity_physics", "unit_conversion"), ["id"])
+    return solvers.accuracy(d)
+
+
+def completed_numerals(t: DataFrame, p: DataFrame) -> DataFrame:
+    """Numerals completed from earlier results, then base ones, then by the solver."""
+    rows = t.where("id is not null").withColumn("row", F.col("trace_id"))
+    d = pipelines.completed(core._family(p, "numeral_system").where("id is not null"), rows.where("source = 'mossgate'"), rows.where("source in ('oakrill', 'quillmoor')"))
+    return d.select("id", "origin", "prediction", "method")
+
+
 def profile(t: DataFrame, p: DataFrame) -> DataFrame:
     """(what, name, n) of puzzles beside traces: rows, overlaps, classes, shapes and lengths of answers."""
     got = pipelines.profile(p, t)
@@ -419,6 +432,8 @@ def queries() -> dict[str, Query]:
         "numeric_rewards": _both(*two, numeric_rewards),
         "numeric_pairs": _both(*two, numeric_pairs),
         "worked_traces": _over("train_puzzles", worked_traces),
+        "exact_accuracy": _over("train_puzzles", exact_accuracy),
+        "completed_numerals": _both(*two, completed_numerals),
         "train_profile": _both(*two, profile),
         "training_texts": _over("traces", training_texts),
         "byte_examples": _over("traces", byte_examples),

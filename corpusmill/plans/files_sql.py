@@ -130,6 +130,13 @@ def oracle_sql() -> dict[str, str]:
         "worked_traces": f"""SELECT id, 'numeral_system' AS family, 'roman_forward' AS method, 'NUMERAL_SYSTEM' || chr(10) || 'Final answer: \\boxed{{' || {o._roman("n")} || '}}' AS completion FROM (
           SELECT id, answer, try_cast(regexp_extract(prompt, '(?i)write the number\\s+(\\d+)\\s+in the Wonderland numeral system', 1) AS bigint) AS n FROM train_puzzles WHERE {o._FAMILY} = 'numeral_system')
           WHERE lower(trim(answer)) = lower({o._roman("n")})""",
+        "exact_accuracy": f"""WITH x AS (SELECT family, correct FROM ({o.oracle_sql()["solved_rates"]}) UNION ALL SELECT 'numeral_system', correct FROM ({o.oracle_sql()["solved_numerals"]}))
+          SELECT coalesce(family, 'all') AS family, count(*) AS total, coalesce(sum(correct::bigint), 0)::bigint AS correct, round(sum(correct::bigint) / count(*), 6) AS accuracy FROM x GROUP BY ROLLUP (family)""",
+        "completed_numerals": f"""WITH g AS (SELECT id, (max((prompt, answer)))[1] AS prompt, (max((prompt, answer)))[2] AS answer FROM train_puzzles WHERE id IS NOT NULL AND {o._FAMILY} = 'numeral_system' GROUP BY id),
+          r AS (SELECT g.*, origin, done_row FROM g JOIN ({o.oracle_sql()["resumed_work"]}) USING (id)),
+          s AS (SELECT id, answer, origin, done_row, try_cast(regexp_extract(prompt, '(?i)write the number\\s+(\\d+)\\s+in the Wonderland numeral system', 1) AS bigint) AS n FROM r)
+          SELECT s.id, origin, s.answer AS prediction, t.method FROM s JOIN traces t ON t.trace_id = done_row WHERE origin <> 'todo'
+          UNION ALL SELECT id, 'solved', {o._roman("n")}, 'roman_forward' FROM s WHERE origin = 'todo' AND lower(trim(answer)) = lower({o._roman("n")})""",
         "train_profile": f"""SELECT 'total' AS what, name, n FROM (VALUES ('train_rows', (SELECT count(*) FROM train_puzzles)), ('test_rows', (SELECT count(*) FROM traces)),
             ('id_overlap', (SELECT count(DISTINCT id) FROM traces WHERE id IN (SELECT id FROM train_puzzles))),
             ('prompt_overlap', (SELECT count(DISTINCT {o._prompt("prompt")}) FROM traces WHERE {o._prompt("prompt")} IN (SELECT {o._prompt("prompt")} FROM train_puzzles)))) v(name, n)

@@ -107,9 +107,8 @@ def completed(train: DataFrame, existing: DataFrame, base: DataFrame) -> DataFra
     old = todo.where("origin <> 'todo'").join(done, "done_row").select("id", "origin", F.col("answer").alias("prediction"), F.col("_m").alias("method"), F.col("_c").alias("completion"))
     new = todo.where("origin = 'todo'")
     solved = solvers.solved(new, ["id"]).where("correct")
-    gold = F.udf(lambda p, a: (solvers.digits_of_symbols(p or "", a or "", most=5_000) or (None, None))[0], "string", useArrow=True)
     rest = new.join(solved.select("id"), "id", "left_anti").where(solvers.family(F.col("prompt")) == "symbolic_equation")
-    rest = rest.withColumn("prediction", gold("prompt", "answer")).where("prediction is not null")
+    rest = solvers.gold_searched(rest, ["id"]).where("prediction is not null")
     first = solved.select("id", F.lit("solved").alias("origin"), "prediction", "method", solvers.trace_text(F.col("family"), F.col("prediction")).alias("completion"))
     second = rest.select("id", F.lit("gold").alias("origin"), "prediction", F.lit("cryptarithm_gold").alias("method"), solvers.trace_text(F.lit("symbolic_equation"), F.col("prediction")).alias("completion"))
     return old.unionByName(first).unionByName(second)

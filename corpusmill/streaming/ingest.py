@@ -16,23 +16,15 @@ def new_traces(spark: SparkSession, path: str, files_per_batch: int = 1000) -> D
 
 
 def append_new(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = ("id", "source", "method")) -> StreamingQuery:
-    """Appends the rows whose key ``out`` doesn't have yet; a key counts once in a batch.
+    """Appends the rows whose key hasn't come yet; null keys count as equal.
 
-    A batch writes to a folder of its own number and looks only at folders of earlier ones, so a
-    batch that is run again after a failure overwrites its own rows and nothing else.
+    The keys that have come are the state of the query, partitioned by key and kept in the checkpoint: a batch meets the
+    state of its own keys, not the rows of earlier batches.  Name a RocksDB state store in the session for histories that
+    outgrow memory.  A batch writes to a folder of its own number, so one that is run again after a failure overwrites its
+    own rows and nothing else.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        try:
-            old = spark.read.parquet(out).where(f"batch < {number}").select(*keys)
-        except Exception as e:  # nothing is there before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            conds = [fresh[k].eqNullSafe(old[k]) for k in keys]
-            fresh = fresh.join(old, conds, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.dropDuplicates(list(keys)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
