@@ -6,7 +6,7 @@ any size thus moves N keys per task and is never gathered.
 
 Order: score descending, tie-break value descending with null and NaN last, then
 the smaller identifier.  Only finite scores count.  An identifier counts once per
-group, so redelivered rows don't fill a heap.  Groups with fewer rows give all.
+group, by its best row, so redelivered rows don't fill a heap.  Groups with fewer rows give all.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ def _keep(groups, score, tie, ident, n: int):
     g = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.lexsort((ident, -tie, -score, g))
     gs, ids = g[order], ident[order]
-    sc, ti = score[order], tie[order]
-    same = np.zeros(len(order), bool)
-    if len(order) > 1:
-        same[1:] = (gs[1:] == gs[:-1]) & (ids[1:] == ids[:-1]) & (sc[1:] == sc[:-1]) & (ti[1:] == ti[:-1])
-    order, gs = order[~same], gs[~same]
+    # of an identifier that comes again in its group, with whatever score, the first place counts
+    by_id = np.lexsort((np.arange(len(order)), ids, gs))
+    again = np.zeros(len(order), bool)
+    again[by_id[1:]] = (gs[by_id[1:]] == gs[by_id[:-1]]) & (ids[by_id[1:]] == ids[by_id[:-1]])
+    order, gs = order[~again], gs[~again]
     first = np.r_[True, gs[1:] != gs[:-1]] if len(gs) else np.zeros(0, bool)
     starts = np.flatnonzero(first)
     rank = np.arange(len(gs)) - np.repeat(starts, np.diff(np.r_[starts, len(gs)]))

@@ -58,3 +58,11 @@ def test_empty_and_no_tie_column(spark):
     assert topn.top_n(d, topn.group_name(F.col("task_type")), "hard_tail_score", "row_index").count() == 0
     d = spark.createDataFrame([(2, "a", 1.0, None, "", 0), (1, "a", 1.0, 5.0, "", 0), (None, "a", 9.0, 1.0, "", 0)], SCHEMA)
     assert [r.ident for r in topn.top_n(d, topn.group_name(F.col("task_type")), "hard_tail_score", "row_index", 1).collect()] == [1]
+
+
+def test_an_identifier_counts_once_whatever_its_scores(spark):
+    rows = [("a", 9.0, 1), ("a", 8.0, 1), ("a", 7.0, 1), ("a", 6.0, 2), ("a", 5.0, 3), ("a", 4.0, 4), ("b", 1.0, 1)]
+    d = spark.createDataFrame(rows, "t string, s double, i long")
+    for parts in (1, 3):
+        got = topn.top_n(d.repartition(parts), topn.group_name(F.col("t")), "s", "i", 3).select("g", "ident", "score", "place").collect()
+        assert sorted(map(tuple, got)) == [("a", 1, 9.0, 1), ("a", 2, 6.0, 2), ("a", 3, 5.0, 3), ("b", 1, 1.0, 1)]
