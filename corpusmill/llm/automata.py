@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+|[^\w\s]")
 
@@ -12,6 +13,11 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def each_word(text: str) -> Iterator[str]:
+    """The same, one at a time."""
+    return (m[0] for m in _TOKEN.finditer(text.lower()))
+
+
 class SuffixAutomaton:
     """Minimal automaton of all word sequences that occur in one text."""
 

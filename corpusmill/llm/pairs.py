@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from corpusmill.llm.automata import SuffixAutomaton, words
+from corpusmill.llm.automata import SuffixAutomaton, each_word, words
 from corpusmill.llm.refusals import declines
 from corpusmill.llm.stopvotes import foreign, language
 from corpusmill.llm.textends import BLANKS, NO_FRAMES, Frames, ending, last_box, peel, strip_blank
@@ -56,15 +56,34 @@ def _automaton(prompt: str) -> SuffixAutomaton:
     return SuffixAutomaton(_prompt(prompt)[2])
 
 
+def _strays(text: str, known: frozenset[str]) -> bool:
+    """Whether a stretch of more than ``COPY_GAP`` words lies in no run of ``COPY_RUN`` known words: such a text is no copy, and most texts show it soon."""
+    run = reach = 0
+    for i, word in enumerate(each_word(text)):
+        if word in known:
+            run += 1
+            if run >= COPY_RUN:
+                if i + 1 - run - reach > COPY_GAP:
+                    return True
+                reach = i + 1
+        else:
+            run = 0
+        if i + 1 - run - reach > COPY_GAP:
+            return True
+    return False
+
+
 def is_copy(prompt: str | None, text: str | None) -> bool:
     """Whether ``text`` is ``prompt`` again, wholly or for the most part."""
     s = _LEAD.sub("", strip_blank(text)).lstrip("> ")
     if not s or not prompt:
         return False
+    known = _prompt(prompt)[1]
+    if _strays(s, known):
+        return False
     tokens = words(s)
     if len(tokens) < COPY_WORDS:
         return False
-    known = _prompt(prompt)[1]
     if sum(map(known.__contains__, tokens)) < COPY_SHARE * len(tokens):
         return False  # every copied word is a known word, so the share can't be reached
     n, gap = _automaton(prompt).covered(tokens, COPY_RUN)

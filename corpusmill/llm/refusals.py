@@ -171,7 +171,12 @@ _CUES = _automaton()
 _STOP = re.compile(r"[.!?…]+(?=[\s\"'”»)\]]|$)|[。！？\n;；]")
 _CLAUSE = re.compile(r"[,，、:：()（）]|\s[-–—]+\s")
 _BOX = re.compile(r"\\boxed\{([^{}]*)\}")
-_ANSWER = re.compile(r"\b(?:answer|antwort|réponse|respuesta|resposta|risposta|antwoord|ответ|答案)\w*\s*(?:is|ist|est|es|é|è)?\s*[:：=][ \t]*([^\n]*)")
+_ANSWER = re.compile(r"(?<!\w)(?:answer|antwort|réponse|respuesta|resposta|risposta|antwoord|ответ|答案)\w*\s*(?:is|ist|est|es|é|è)?\s*[:：=][ \t]*([^\n]*)")
+# Words for an answer.
+_NOUNS = ahocorasick.Automaton()
+for _noun in ("answer", "antwort", "réponse", "respuesta", "resposta", "risposta", "antwoord", "ответ", "答案"):
+    _NOUNS.add_word(_noun, len(_noun))
+_NOUNS.make_automaton()
 #: words of a clause that is all apology and negation, and words after a limited method that go on with it
 BARE, ON = 7, 8
 #: words of a clause that an inserted remark has cut off from its verb
@@ -225,7 +230,11 @@ def _refuses(g: Grammar, sentence: str, before: str, last: bool) -> bool:
 
 def _last_value(low: str) -> int:
     """Where the last stated value of ``low`` ends, 0 without one."""
-    at = max((m.end() for m in _ANSWER.finditer(low) if not no_value(m[1])), default=0)
+    at = 0
+    for end, n in _NOUNS.iter(low):
+        m = _ANSWER.match(low, end + 1 - n)
+        if m and not no_value(m[1]):
+            at = m.end()
     i = len(low)
     while (i := low.rfind("\\boxed{", at, i)) >= 0:
         m = _BOX.match(low, i)

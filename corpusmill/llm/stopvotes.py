@@ -30,6 +30,9 @@ for _lang, _words in STOPWORDS.items():
                 _VOTE[_form] += ((_lang, 1.0),)
 _VOTE = {w: tuple((lang, 1.0 / len(v)) for lang, _ in v) for w, v in _VOTE.items()}
 
+_VOTE_BYTES = {w.encode(): v for w, v in _VOTE.items() if w.isascii()}
+_LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() else 32 for c in range(256))
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?:^|[.!?]\s+|\n)[^\W\d_a-z][^.!?\n]{20,}[.!?]")
 _HAN = re.compile("[一-鿿]")
@@ -68,10 +71,14 @@ def votes(text: str) -> tuple[str | None, float, float]:
                 tally["uk"] = tally.pop("ru")
         if (kana := len(_KANA.findall(text))) and kana >= 0.2 * (kana + han):
             tally["ja"] = (kana + tally.pop("zh", 0.0)) / 2.0
-    counts = Counter(_WORD.findall(text.lower()))
-    for w in counts.keys() & _VOTE.keys():
+    if text.isascii():
+        # the same words, by a table of bytes
+        counts, listed = Counter(text.lower().encode().translate(_LETTERS).split()), _VOTE_BYTES
+    else:
+        counts, listed = Counter(_WORD.findall(text.lower())), _VOTE
+    for w in counts.keys() & listed.keys():
         n = counts[w]
-        for lang, v in _VOTE[w]:
+        for lang, v in listed[w]:
             tally[lang] = tally.get(lang, 0.0) + n * v
     if not tally:
         return None, 0.0, 0.0

@@ -44,6 +44,8 @@ _NEXT = re.compile(r"[.!?]\s+[^\W\d_]{2,}|[。！？]")
 _ENDS = [a + b for a in ".!?" for b in (" ", "\n", "\t", "\r", "\u00a0")] + ["。", "！", "？", "\n"]
 #: words of a value, words of a closing frame on either side of it, words of a whole text that is nothing but an answer
 VALUE_WORDS, LEAD_WORDS, TAIL_WORDS, BARE_WORDS = 6, 2, 6, 6
+#: words of a mark of the end at most
+MARK_WORDS = 7
 
 
 def strip_blank(text: str | None) -> str:
@@ -51,6 +53,12 @@ def strip_blank(text: str | None) -> str:
     return "" if text is None else text.strip(BLANKS)
 
 
+def _last_words(s: str, n: int) -> str:
+    """The end of ``s`` from its ``n``-th last run of signs without white space on."""
+    parts = s.rsplit(None, n)
+    return s[len(parts[0]) :] if len(parts) > n else s
+
+
 def _peel_one(s: str) -> str:
     c = s[-1]
     if c == ">" and (i := s.rfind("<")) >= 0 and _TAG_END.fullmatch(s, i):
@@ -64,10 +72,13 @@ def _peel_one(s: str) -> str:
     line = s.rfind("\n") + 1
     if c == ")" and (i := s.rfind("(", line)) > 0 and s[i - 1] in " \t\n" and (inner := s[i + 1 : -1]) and 1 < len(inner.split()) <= 4 and not any(x.isdigit() for x in inner) and "(" not in inner:
         return s[:i]  # a remark behind the text
-    if m := _END_MARK.search(s, line):
-        return s[: m.start()]
-    if m := _END_WORD.search(s, line):
+    low = s[-4:].lower()
+    if low.endswith(("qed", "ok", "done")) and (m := _END_WORD.search(s, len(s) - 4)):
         return s[: m.start()]
+    # a mark of the end has few words
+    last = _last_words(s, MARK_WORDS)
+    if "end" in last.lower() and (m := _END_MARK.search(s, max(line, len(s) - len(last)))):
+        return s[: m.start()].rstrip("-–—=*#")
     return s
 
 
@@ -162,7 +173,10 @@ def _on_data_line(text: str, at: int) -> bool:
 
 def _lead(head: str) -> str:
     """The last words before a value, in lower case."""
-    words = _WORD.findall(head[head.rfind("\n") + 1 :].lower())
+    line = head[head.rfind("\n") + 1 :].lower()
+    words = _WORD.findall(_last_words(line, 8))
+    if len(words) < 3:
+        words = _WORD.findall(line)
     return " ".join(words[-3:] if words and "\u4e00" <= words[-1] <= "\u9fff" else words[-LEAD_WORDS:])
 
 
@@ -268,7 +282,8 @@ class Frames:
 
     def states(self, sentence: str) -> bool:
         """Whether ``sentence``, the end of a text, without a known value ends by one of the frames around some short value."""
-        low = sentence.lower()[sentence.rfind("\n") + 1 :]
+        # a lead, a value and a tail have no more words than this
+        low = _last_words(sentence[sentence.rfind("\n") + 1 :].lower(), 2 * (VALUE_WORDS + TAIL_WORDS))
         tokens = [(m.start(), m.end()) for m in _WORD.finditer(low)]
         for k in range(len(tokens) - 1, -1, -1):
             end = tokens[k][1]
