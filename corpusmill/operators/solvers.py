@@ -581,6 +581,21 @@ def solved(puzzles: DataFrame, keep: list[str]) -> DataFrame:
     return d.mapInArrow(run, f"{fields}, family string, prediction string, method string, correct boolean")
 
 
+def evaluated(df: DataFrame, keep: list[str], left: str, right: str, mode: str, operation: str) -> DataFrame:
+    """``keep``, the value of the named operation on two digit texts in a mode's order, and the value backwards; null where it has none."""
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(len(keep) + i).to_pylist() for i in range(4)]
+            got = [operate(o, *operands(x, y, m)) for x, y, m, o in zip(*cols, strict=True)]
+            texts = [None if v is None else str(v) for v in got]
+            arrays = [pa.array(texts, pa.string()), pa.array([None if t is None else backwards(t) for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names=[*keep, "value", "reversed"])
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    return df.select(*keep, left, right, mode, operation).mapInArrow(run, f"{fields}, value string, reversed string")
+
+
 def gold_searched(puzzles: DataFrame, keep: list[str], most: int = 5_000) -> DataFrame:
     """``keep`` and ``prediction``: the known answer of each puzzle for which some rule and digit map fits it too; rules with over ``most`` maps of one equation are left out."""
 

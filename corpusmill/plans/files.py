@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zipfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import render
+from corpusmill.functions import bits, render
 from corpusmill.functions import text as tx
 from corpusmill.operators import harvest, merges, notebooks, preferences, solvers, summaries, tensors, tokens
 from corpusmill.plans import pipelines
@@ -341,6 +342,97 @@ def whole_counts(e: DataFrame) -> DataFrame:
     return e.where("props is not null").select("event_id", F.size(m).alias("n"), F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
+# puzzles ---------------------------------------------------------------------------------------
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+WORDS = "garden castle river mirror violet candle whisper dragon bridge puzzle forest marble".split()
+
+
+def _lines(left: Column, right: Column, between: str) -> Column:
+    return F.array_join(F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(between), b)), "\n")
+
+
+def planted_puzzles(s: DataFrame) -> DataFrame:
+    """Puzzles with a known rule: bytes that are rotated, words whose letters are moved on, products of numbers."""
+    n = F.col("s_suppkey").cast("int")
+    d = s.where("s_suppkey is not null").select(n.alias("n")).distinct()
+    n = F.col("n")
+
+    def byte(v: Column) -> Column:
+        return tx.bits8(v.cast("bigint"))
+
+    def turned(v: Column) -> Column:
+        return F.coalesce(*[F.when(n % 7 + 1 == k, bits.shift8(v, "ROT", k)) for k in range(1, 8)])
+
+    steps = F.sequence(F.lit(0), F.lit(9))
+    ins = F.transform(steps, lambda j: (n * 13 + j * 29 + j * j * 3) % 256)
+    target = (n * 13 + 211) % 256
+    rotated = F.concat(_lines(F.transform(ins, byte), F.transform(ins, lambda v: byte(turned(v))), " -> "), F.lit("\nNow, determine the output for: "), byte(target))
+    words = F.array(*[F.lit(w) for w in WORDS])
+    moved = [LETTERS[k:] + LETTERS[:k] for k in range(1, 26)]
+    coded = lambda t: F.coalesce(*[F.when(n % 25 + 1 == k + 1, F.translate(t, LETTERS, to)) for k, to in enumerate(moved)])
+    plain = F.concat(F.element_at(words, n % 12 + 1), F.lit(" "), F.element_at(words, n % 5 + 1))
+    cipher = F.concat(_lines(F.transform(words, coded), words, " -> "), F.lit("\nNow, decrypt the following text: "), coded(plain))
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    a, b = F.transform(steps, lambda j: (n * 7 + j * 17) % 90 + 10), F.transform(steps, lambda j: (n * 3 + j * 23) % 90 + 10)
+    products = F.concat(
+        _lines(F.zip_with(a, b, lambda x, y: F.concat(two(x), F.lit("#"), two(y))), F.zip_with(a, b, lambda x, y: (x * y).cast("string")), " = "),
+        F.lit("\nNow, determine the result for: "), two(n % 90 + 10), F.lit("#"), two((n + 41) % 90 + 10),
+    )
+    rows = F.array(
+        F.struct(F.lit("byte").alias("kind"), rotated.alias("prompt"), byte(turned(target)).alias("answer")),
+        F.struct(F.lit("word").alias("kind"), cipher.alias("prompt"), plain.alias("answer")),
+        F.struct(F.lit("product").alias("kind"), products.alias("prompt"), ((n % 90 + 10) * ((n + 41) % 90 + 10)).cast("string").alias("answer")),
+    )
+    return solvers.solved(d.select("n", F.inline(rows)), ["n", "kind"]).select("n", "kind", "family", "prediction", "correct")
+
+
+def number_forms(o: DataFrame) -> DataFrame:
+    """Operations on pairs of two-digit texts in all orders."""
+    k = F.col("o_orderkey")
+    ops = F.array(*[F.lit(x) for x in solvers.OPERATIONS])
+    modes = F.array(*[F.lit(x) for x in solvers.CRYPT_MODES])
+    d = o.where("o_orderkey is not null").select(
+        "o_orderkey", F.lpad((k * 7 % 100).cast("string"), 2, "0").alias("x"), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0").alias("y"),
+        F.element_at(modes, (k % 6 + 1).cast("int")).alias("mode"), F.element_at(ops, (F.floor(k / 6) % 25 + 1).cast("int")).alias("op"),
+    )
+    return solvers.evaluated(d, ["o_orderkey"], "x", "y", "mode", "op")
+
+
+def bit_forms(o: DataFrame) -> DataFrame:
+    """Shifts and gates of bytes."""
+    a, b = F.col("o_orderkey") * 11 % 256, F.col("o_custkey") % 256
+    return o.select("o_orderkey", *[bits.shift8(a, k, n).alias(f"{k.lower()}{n}") for k, n in (("ROT", 3), ("SHL", 2), ("SHR", 5))], *[bits.gate8(a, b, g).alias(f"gate_{g.lower()}") for g in bits.GATES])
+
+
+def adapter_archives(e: DataFrame) -> DataFrame:
+    """An adapter in a zip: found, unpacked, its configuration checked, its tensors listed."""
+    s = e.sparkSession
+    root = shared_folder(s, "adapter")
+    os.makedirs(f"{root}/deep")
+    sinks.write_json(f"{root}/deep/adapter_config.json", {"peft_type": "LORA", "r": 8, "base_model_name_or_path": "some/base"})
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    tensor_files.write(f"{root}/deep/adapter_model.safetensors", {"m.lora_A.weight": np.zeros((8, width)), "m.lora_B.weight": np.zeros((width, 8))})
+    sinks.write_zip(f"{root}/run_adapter.zip", {f"x/{n}": f"{root}/deep/{n}" for n in ("adapter_config.json", "adapter_model.safetensors")})
+    found = catalog.pick_archive([f"{root}/other_long_name.zip", f"{root}/run_adapter.zip", f"{root}/a.txt"], "adapter")
+    folder = catalog.adapter_folder(found, f"{root}/unpacked")
+    with open(f"{folder}/adapter_config.json", encoding="utf-8") as f:
+        config = catalog.checked_config(json.load(f), 32, "some/base")
+    name, _, weight = tensors.adapter_spec(f"run={folder}:0.25")
+    s.dataSource.register(tensor_files.TensorSource)
+    d = s.read.format("tensors").option("headers", True).load(folder)
+    return d.select("key", F.array_join(F.transform("shape", lambda x: x.cast("string")), "x").alias("shape"), F.lit(int(config["r"])).alias("rank"), F.lit(name).alias("name"), F.lit(weight).alias("weight"))
+
+
+def manifest_counts(t: DataFrame, p: DataFrame) -> DataFrame:
+    """(what, name, n) of the summary of all candidates."""
+    got = summaries.manifest_summary(core._candidates(t, p))
+    rows = [("rows", "", int(got["rows"]))]
+    rows += [(k, name, int(n)) for k in ("by_source", "quality_flags") for name, n in got[k].items()]
+    rows += [("enabled", name, int(x["enabled_rows"])) for name, x in got["sources"].items() if name]
+    return t.sparkSession.createDataFrame(rows, "what string, name string, n bigint")
+
+
 # tensors ----------------------------------------------------------------------------------------
 
 
@@ -445,6 +537,11 @@ def queries() -> dict[str, Query]:
         "redacted_texts": _over("traces", redacted_texts),
         "json_harvest": _over("traces", json_harvest),
         "whole_counts": _over("events", whole_counts),
+        "planted_puzzles": _over("supplier", planted_puzzles),
+        "number_forms": _over("orders", number_forms),
+        "bit_forms": _over("orders", bit_forms),
+        "adapter_archives": _over("embeddings", adapter_archives),
+        "manifest_counts": _both(*two, manifest_counts),
         "tensor_names": _over("embeddings", tensor_names),
         "merge_plan": _over("embeddings", merge_plan),
         "module_scales": _over("embeddings", module_scales),

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from corpusmill.functions.render import END, PROMPT_SUFFIX, TURN
 from corpusmill.functions.text import MANIFEST_TASKS, REWARD_TASKS, WS
+from corpusmill.operators import solvers
 from corpusmill.plans import oracle as o
+from corpusmill.plans.files import WORDS
 from corpusmill.plans.queries import HARD, PRIORITY
 
+_WORDS = str(WORDS)
 _USABLE = "len(input_ids) > 0 AND len(input_ids) = len(loss_mask)"
 
 
@@ -163,6 +166,24 @@ def oracle_sql() -> dict[str, str]:
         "whole_counts": """SELECT event_id, len(list_filter(v, lambda x: try_cast(x AS bigint) IS NOT NULL AND regexp_full_match(trim(x), '[+-]?[0-9]+')))::int AS n,
           coalesce(list_sum(list_transform(list_filter(v, lambda x: regexp_full_match(trim(x), '[+-]?[0-9]+')), lambda x: x::bigint)), 0)::bigint AS total
           FROM (SELECT event_id, list_transform(json_keys(props), lambda k: json_extract_string(props, '$.' || k)) AS v FROM events WHERE props IS NOT NULL)""",
+        "planted_puzzles": f"""WITH s AS (SELECT DISTINCT s_suppkey::int AS n FROM supplier WHERE s_suppkey IS NOT NULL), t AS (SELECT n, (n * 13 + 211) % 256 AS v, n % 7 + 1 AS k FROM s)
+          SELECT n, 'byte' AS kind, 'bit_manipulation' AS family, right('00000000' || bin(((v << k) | (v >> (8 - k))) & 255), 8) AS prediction, true AS correct FROM t
+          UNION ALL SELECT n, 'word', 'text_cipher', {_WORDS}[n % 12 + 1] || ' ' || {_WORDS}[n % 5 + 1], true FROM s
+          UNION ALL SELECT n, 'product', 'symbolic_equation', ((n % 90 + 10) * ((n + 41) % 90 + 10))::varchar, true FROM s""",
+        "number_forms": f"""WITH o AS (SELECT o_orderkey, right('0' || (o_orderkey * 7 % 100), 2) AS p, right('0' || (o_custkey % 100), 2) AS q, {list(solvers.CRYPT_MODES)}[o_orderkey % 6 + 1] AS mode, {list(solvers.OPERATIONS)}[(o_orderkey // 6) % 25 + 1] AS op FROM orders),
+          m AS (SELECT *, CASE mode[1:2] WHEN 'AB' THEN p WHEN 'BA' THEN reverse(p) WHEN 'CD' THEN q ELSE reverse(q) END AS a, CASE mode[4:5] WHEN 'AB' THEN p WHEN 'BA' THEN reverse(p) WHEN 'CD' THEN q ELSE reverse(q) END AS b FROM o),
+          n AS (SELECT *, a::int AS x, b::int AS y FROM m),
+          v AS (SELECT o_orderkey, CASE op WHEN 'concat' THEN a || b WHEN 'rconcat' THEN b || a ELSE (CASE op WHEN 'add' THEN x + y WHEN 'add1' THEN x + y + 1 WHEN 'addm1' THEN x + y - 1 WHEN 'mul' THEN x * y WHEN 'mul1' THEN x * y + 1 WHEN 'mulm1' THEN x * y - 1
+            WHEN 'sub' THEN x - y WHEN 'sub1' THEN x - y + 1 WHEN 'subm1' THEN x - y - 1 WHEN 'rsub' THEN y - x WHEN 'rsub1' THEN y - x + 1 WHEN 'rsubm1' THEN y - x - 1 WHEN 'absdiff' THEN abs(x - y) WHEN 'absdiff1' THEN abs(x - y) + 1
+            WHEN 'absdiffm1' THEN abs(x - y) - 1 WHEN 'negabsdiff' THEN -abs(x - y) WHEN 'first' THEN x WHEN 'second' THEN y WHEN 'dsum' THEN x // 10 + x % 10 + y // 10 + y % 10
+            WHEN 'floordiv' THEN x // nullif(y, 0) WHEN 'rfloordiv' THEN y // nullif(x, 0) WHEN 'mod' THEN x % nullif(y, 0) WHEN 'rmod' THEN y % nullif(x, 0) END)::varchar END AS value FROM n)
+          SELECT o_orderkey, value, CASE WHEN starts_with(value, '-') THEN '-' || reverse(value[2:]) ELSE reverse(value) END AS reversed FROM v""",
+        "bit_forms": """SELECT o_orderkey, (((a << 3) | (a >> 5)) & 255)::int AS rot3, (a >> 2)::int AS shl2, ((a << 5) & 255)::int AS shr5, (a & b)::int AS gate_and, (a & (255 - b))::int AS gate_andn, (a | b)::int AS gate_or,
+          (a | (255 - b))::int AS gate_orn, xor(a, b)::int AS gate_xor, xor(a, 255 - b)::int AS gate_xorn FROM (SELECT o_orderkey, (o_orderkey * 11 % 256)::int AS a, (o_custkey % 256)::int AS b FROM orders)""",
+        "adapter_archives": """WITH w AS (SELECT max(len(embedding))::varchar AS w FROM embeddings)
+          SELECT 'm.lora_A.weight' AS key, '8x' || w AS shape, 8::int AS rank, 'run' AS name, 0.25::double AS weight FROM w UNION ALL SELECT 'm.lora_B.weight', w || 'x8', 8, 'run', 0.25 FROM w""",
+        "manifest_counts": f"""{o._CANDIDATES} SELECT 'rows' AS what, '' AS name, count(*) AS n FROM cand UNION ALL SELECT 'by_source', coalesce(source, ''), count(*) FROM cand GROUP BY 2
+          UNION ALL SELECT 'quality_flags', f, count(*) FROM (SELECT unnest(flags) AS f FROM cand) GROUP BY 2 UNION ALL SELECT 'enabled', source, sum(enabled::bigint)::bigint FROM cand WHERE source <> '' GROUP BY 2""",
         "tensor_names": f"""SELECT vec_id, CASE WHEN i % 4 = 0 THEN 'experts.up_proj.' || side WHEN i % 4 = 1 THEN 'q_proj.' || side WHEN i % 4 = 2 THEN 'in_proj.' || side ELSE 'other' END AS category,
           CASE WHEN side = 'lora_A' THEN module ELSE {_KEY} END AS module, module || '.lora_B.weight' AS partner, 'base.' || module || '.' || side AS renamed, i % 4 = 0 AS restored, 2::int AS variants FROM {_KEYS}""",
         "merge_plan": f"""WITH s AS (SELECT i, any_value(module) AS module, count(*) FILTER (adapter = 'base') AS b, count(*) FILTER (adapter = 'other') AS o FROM {_KEYS} GROUP BY i),
