@@ -171,9 +171,12 @@ class Model:
     def _fit(self, pairs: list[tuple[str, list[str]]]) -> None:
         words: dict[str, Counter] = defaultdict(Counter)
         triples: dict[str, Counter] = defaultdict(Counter)
+        raw: dict[str, Counter] = defaultdict(Counter)
         for lang, tokens in pairs:
-            words[lang].update(map(fold, tokens))
-        for lang in words:
+            raw[lang].update(tokens)
+        for lang in raw:
+            for w, n in raw[lang].items():
+                words[lang][fold(w)] += n
             for w, n in words[lang].items():
                 for g in self._grams(w):
                     triples[lang][g] += n
