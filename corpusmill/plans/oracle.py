@@ -304,4 +304,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT id, answer, try_cast(regexp_extract(prompt, '(?i)write the number\\s+(\\d+)\\s+in the Wonderland numeral system', 1) AS bigint) AS n FROM train_puzzles WHERE {_FAMILY} = 'numeral_system')""",
         "solved_rates": _rates(),
     }
+    # the same at the full limits
+    sql["token_examples_full"] = sql["token_examples"].replace("256", "8192")
+    sql["shifted_tokens_full"] = sql["shifted_tokens"].replace("512", "8191")
     return sql
