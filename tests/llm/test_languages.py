@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import languages as la
 
@@ -97,6 +98,26 @@ def test_a_language_of_the_labels_is_learned():
     assert "bg" not in la.Model(rows + [("bg", t) for _, t in corpus(rnd, 3)]).langs
 
 
+def test_a_wrong_code_with_a_full_sample_is_no_language(spark, small):
+    d = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source").where("lang is not null")
+    # every fourth Russian text has another code, and copies fill the sample of either
+    russian = (la.declared_column(F.col("lang")) == "ru") & (F.col("doc_id") % 4 == 0)
+    d = d.withColumn("lang", F.when(russian, "bg").otherwise(F.col("lang")))
+    many = d.crossJoin(spark.range(8).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + 10_000 * F.col("copy")).drop("copy")
+    m = la.fit(many, sample=30)
+    assert m.langs == ("de", "en", "es", "fr", "it", "nl", "pt", "ru", "zh")
+    named = d.where("lang = 'bg'").select("doc_id").join(la.wrong_labels(d, m), "doc_id").where("para_no = 0").collect()
+    assert len(named) >= 10 and sum(r.true_lang == "ru" for r in named) >= len(named) - 1
+
+
+def test_a_rare_language_beside_its_neighbours_is_learned():
+    rnd = random.Random(8)
+    danish = "Vi begynder med det korteste eksempel og skriver ned, hvad der ændrer sig. Så regner vi alle rækkerne efter igen."
+    rows = corpus(rnd, 20) + [("sv", STRANGERS["sv"])] * 8 + [("da", danish)] * 8
+    m = la.Model(rows, dict.fromkeys(SENTENCES, 10_000) | {"sv": 900, "da": 8})
+    assert {"sv", "da"} <= set(m.langs) and m.judge(danish)[0] == "da" and m.judge(STRANGERS["sv"])[0] == "sv"
+
+
 def test_evidence_decides_close_cases(model):
     even = SENTENCES["en"][0] + "\n\n" + SENTENCES["de"][0]
     assert model.judge(even, "de")[0] == "de" and model.judge(even, "en")[0] == "en"
