@@ -72,19 +72,19 @@ def text_traces(p: DataFrame) -> DataFrame:
 
 
 def _token_lines(r: DataFrame, out: str) -> None:
-    """Records as JSON lines in the order of their keys, with names by line beside them."""
-    one = r.where("rec_id is not null and input_ids is not null and loss_mask is not null").repartitionByRange(1, "rec_id").sortWithinPartitions("rec_id")
+    """Records as JSON lines in the order of their keys, in parts by ranges of keys, with names by line beside them."""
+    one = r.where("rec_id is not null and input_ids is not null and loss_mask is not null").repartitionByRange("rec_id").sortWithinPartitions("rec_id")
     labels = F.zip_with("input_ids", "loss_mask", lambda x, m: F.when(m > 0, x).otherwise(F.when(x.isNotNull(), -100)))
-    one.select("input_ids", F.slice(labels, F.lit(1), F.size("loss_mask")).alias("labels")).write.json(f"{out}/ids", ignoreNullFields=False)
-    one.select("id", F.when(F.col("rec_id") % 3 > 0, F.col("rec_id").cast("string")).alias("answer")).write.json(f"{out}/names", ignoreNullFields=False)
+    one.select("input_ids", F.slice(labels, F.lit(1), F.size("loss_mask")).alias("labels")).write.json(f"{out}/ids", ignoreNullFields=False, compression="lz4")
+    one.select("id", F.when(F.col("rec_id") % 3 > 0, F.col("rec_id").cast("string")).alias("answer")).write.json(f"{out}/names", ignoreNullFields=False, compression="lz4")
 
 
 def token_lines(r: DataFrame) -> DataFrame:
     """Pre-tokenised records by line: unequal arrays dropped, ignored labels as mask 0, names by line."""
     out = shared_folder(r.sparkSession, "tokens")
     _token_lines(r, out)
-    d = catalog.load_tokens(r.sparkSession, f"{out}/ids", f"{out}/names", "lines")
-    return d.select("id", "source", "answer", "quality_flags", F.size("input_ids").alias("n_ids"), tokens.total("loss_mask").alias("n_scored"))
+    counts = {"n_ids": F.size("input_ids"), "n_scored": tokens.total("loss_mask")}
+    return catalog.load_tokens(r.sparkSession, f"{out}/ids", f"{out}/names", "lines", counts)
 
 
 def id_filter(t: DataFrame, p: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,10 +69,10 @@ def load(spark: SparkSession, specs: list[dict], train: DataFrame) -> tuple[Data
     return out, noted
 
 
-def load_tokens(spark: SparkSession, path: str, labels: str | None, name: str) -> DataFrame:
-    """Pre-tokenised records of a JSON lines file with their names by line."""
-    named = readers.jsonl(spark, labels, "id string, answer string") if labels else None
-    return readers.pretokenized(readers.jsonl(spark, path, JSON_TOKENS), named, name)
+def load_tokens(spark: SparkSession, path: str, labels: str | None, name: str, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Pre-tokenised records of JSON lines with their names by line; each path is a file or a folder of parts, whose lines count on by file name."""
+    named = readers.jsonl(spark, labels, "id string, answer string", throughout=True) if labels else None
+    return readers.pretokenized(readers.jsonl(spark, path, JSON_TOKENS, throughout=True), named, name, keep)
 
 
 def discover(files: DataFrame, most: int = 4) -> DataFrame:

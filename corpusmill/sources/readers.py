@@ -6,6 +6,7 @@ import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import first_filled, flat_boxes, join_flags, split_flags, text_of
@@ -34,10 +35,24 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("p", "value")).select("path", (F.col("p") + 1).cast("bigint").alias("row_index"), "value")
 
 
-def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Rows of JSON lines with their ``row_index``; blank lines and, unless ``strict``, bad rows are left out."""
-    d = lines(spark, path).where(F.trim("value") != "")
-    parsed = d.withColumn("_j", F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
+def lines_throughout(spark: SparkSession, path: str) -> DataFrame:
+    """(row_index, value) of the lines of a text file or of the files of a folder in the order of their names; the index counts on from file to file.
+
+    Lines are read in splits and none is gathered: what is broadcast has one row for each split.
+    """
+    at = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")]
+    d = spark.read.text(path, lineSep="\n").select(*at, F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("value"))
+    splits = d.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_path", "_start")) - F.col("_n")
+    splits = splits.select("_path", "_start", "_first", before.alias("_before"))
+    return d.join(F.broadcast(splits), ["_path", "_start"]).select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("row_index"), "value")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, throughout: bool = False) -> DataFrame:
+    """Rows of JSON lines with their ``row_index``, counted in each file or ``throughout``; blank lines and, unless ``strict``, bad rows are left out."""
+    d = (lines_throughout if throughout else lines)(spark, path).where(F.trim("value") != "")
+    # behind a generator, or each filter on a field would parse the line again
+    parsed = d.select("row_index", F.explode(F.array(F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))).alias("_j"))
     return parsed.where(F.col("_j").isNotNull()).select("row_index", "_j.*")
 
 
@@ -87,17 +102,22 @@ def generic_traces(rows: DataFrame, source: str, index: str = "row_index") -> Da
     )
 
 
-def pretokenized(rows: DataFrame, labels: DataFrame | None, source: str) -> DataFrame:
-    """Records of input_ids and labels by line; rows of unequal arrays are dropped, ignored labels get mask 0, names come by line."""
+def pretokenized(rows: DataFrame, labels: DataFrame | None, source: str, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Records of input_ids and labels by line; rows of unequal arrays are dropped, ignored labels get mask 0, names come by line.
+
+    ``keep`` are columns made of ``input_ids`` and ``loss_mask`` in their place, so that the arrays don't travel to the names.
+    """
     d = rows.where("input_ids is not null and labels is not null and size(input_ids) = size(labels)")
     d = d.withColumn("loss_mask", F.transform("labels", lambda x: (x != -100).cast("int")))
+    keep = keep or {c: F.col(c) for c in ("input_ids", "loss_mask")}
+    d = d.select("row_index", *[c.alias(n) for n, c in keep.items()])
     if labels is not None:
         d = d.join(labels.select("row_index", F.col("id").alias("_id"), F.col("answer").alias("_a")), "row_index", "left")
     else:
         d = d.withColumns({"_id": F.lit(None).cast("string"), "_a": F.lit(None).cast("string")})
     flags = join_flags(F.lit("pretokenized"), F.when(text_of(F.col("_a")) == "", "empty_answer"))
     name = F.coalesce("_id", F.concat(F.lit("row_"), F.lpad(F.col("row_index").cast("string"), 6, "0")))
-    return d.select(name.alias("id"), F.lit(source).alias("source"), text_of(F.col("_a")).alias("answer"), flags.alias("quality_flags"), "input_ids", "loss_mask")
+    return d.select(name.alias("id"), F.lit(source).alias("source"), text_of(F.col("_a")).alias("answer"), flags.alias("quality_flags"), *keep)
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from corpusmill.operators import candidates, harvest
-from corpusmill.sources import readers, sinks
+from corpusmill.plans import files
+from corpusmill.sources import catalog, readers, sinks
 from corpusmill.streaming import ingest
 
 
@@ -20,6 +21,31 @@ def test_jsonl_counts_lines(spark, tmp_path):
     assert [(r.row_index, r.id) for r in rows] == [(1, "a"), (3, "b")]
 
 
+def test_token_lines_count_on_over_parts(spark, tmp_path):
+    for part, rows in enumerate(([[1, 2], None, [3]], [[4]], [[5, 6], [7, 8]])):
+        (tmp_path / f"part-{part}.json").write_text("".join((json.dumps({"input_ids": x, "labels": x}) if x else "") + "\n" for x in rows))
+    (tmp_path / "names.json").write_text("".join(json.dumps({"id": f"n{i}" if i != 4 else None, "answer": str(i)}) + "\r\n" for i in range(1, 7)))
+    (tmp_path / "ids").mkdir()
+    for part in range(3):
+        (tmp_path / f"part-{part}.json").rename(tmp_path / "ids" / f"part-{part}.json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "48b")
+    try:
+        got = [(r.id, r.answer, r.input_ids) for r in catalog.load_tokens(spark, str(tmp_path / "ids"), str(tmp_path / "names.json"), "s").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == [("n1", "1", [1, 2]), ("n3", "3", [3]), ("n5", "5", [5, 6]), ("n6", "6", [7, 8]), ("row_000004", "4", [4])]
+
+
+def test_token_lines_are_written_and_read_in_parts(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("rec_id"), F.lit("n").alias("id"), F.array(F.lit(1)).alias("input_ids"), F.array(F.lit(1)).alias("loss_mask")).write.parquet(str(tmp_path / "r"))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        files._token_lines(spark.read.parquet(str(tmp_path / "r")), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "out" / "ids").glob("part-*"))) > 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("work \\boxed{1}")
     (tmp_path / "z.txt").write_text("alone")
